@@ -1 +1,123 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the training-data queries that SQL can express."""
+
+from __future__ import annotations
+
+from . import license_scan, quality_rules
+
+BLANK_WORD = r"[^\x20\x09-\x0D]+"
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lowered(text: str = "text") -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+def _op2() -> str:
+    vocabulary = sorted({t for _, x in license_scan.TEMPLATES for t in x.split(" ")})
+    rows = []
+    for label, text in license_scan.TEMPLATES:
+        own = sorted(set(text.split(" ")))
+        rows.append(f"('{label}', {own!r}, {license_scan.need_of(len(own))})")
+    phrases = ", ".join(
+        f"('{label}', {text.split(' ')!r})" for label, text in license_scan.PHRASES.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {lowered()} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '{PLAIN_WORD}') AS words FROM d),
+template(label, own, need) AS (VALUES {", ".join(rows)}),
+phrase(label, parts) AS (VALUES {phrases}),
+spot AS (SELECT doc_id, words, unnest(generate_series(0, len(words) - 1)) AS i FROM w),
+place AS (SELECT doc_id, i, label FROM spot JOIN phrase ON words[i + 1:i + len(parts)] = parts),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list_distinct(list(label)) AS labels FROM place GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
+block AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(line, '{PLAIN_WORD}'),
+          lambda x: list_contains({vocabulary!r}, x))) AS held FROM line),
+match AS (SELECT doc_id, label, len(list_intersect(own, held)) / len(own) AS share
+          FROM block JOIN template ON len(held) >= need AND len(list_intersect(own, held)) >= need),
+best AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM match GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+def _distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two list columns, in SQL."""
+    x, y = f"(t[1] / list_sum({p}))", f"(t[2] / list_sum({q}))"
+    part = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / {m}) ELSE 0.0 END"
+    m = f"(({x} + {y}) / 2)"
+    return (
+        f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform("
+        f"list_zip({p}, {q}), lambda t: {part(x, m)} + {part(y, m)})) / 2, 0.0)) END"
+    )
+
+
+def _op9() -> str:
+    r = quality_rules.Rules()
+    quote = lambda x: x.replace("'", "''")
+    counts = [f"(length(rare) - length(regexp_replace(rare, '{quote(p)}', '', 'g')))" for p in quality_rules.CLASSES.values()]
+    common = " ".join(
+        f"WHEN known = '{lang}' THEN ["
+        + ", ".join(f"((length(low) - length(replace(low, ' {w} ', ''))) / {len(w) + 2})::DOUBLE" for w in words)
+        + "]"
+        for lang, words in quality_rules.COMMON_WORDS.items()
+    )
+    zeros = [0.0] * quality_rules.WORDS_PER_LANG
+    known = ", ".join(f"'{x}'" for x in quality_rules.COMMON_WORDS)
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE '' END AS known FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{BLANK_WORD}') AS words, regexp_replace(t, '{quality_rules.COMMON_RUNS}', '', 'g') AS rare,
+      ' ' || lower(t) || ' ' AS low,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{BLANK_WORD}')) AS lines FROM d),
+spot AS (SELECT doc_id, i, words[i:i + {r.window - 1}] AS win
+       FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - {r.window - 1})) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM spot) WHERE c > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(generate_series(0, {r.window - 1})) AS j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, known, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+      length(rare) - length(regexp_replace(rare, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, length(t) AS size,
+      [length(t) - length(rare) - (length(t) - length(replace(t, ' ', ''))), length(t) - length(replace(t, ' ', '')), {", ".join(counts)},
+       length(rare) - ({" + ".join(counts)})]::DOUBLE[] AS chars,
+      CASE {common} ELSE {zeros!r}::DOUBLE[] END AS common
+      FROM w LEFT JOIN hit USING (doc_id)),
+ref AS (SELECT known, {sums("chars", quality_rules.N_CLASSES)} AS ref_chars, {sums("common", quality_rules.WORDS_PER_LANG)} AS ref_common FROM m GROUP BY known),
+v AS (SELECT m.*, {_distance("chars", "ref_chars")} AS dc, {_distance("common", "ref_common")} AS dw,
+      n_words < {r.min_words} OR 100 * n_repeat_words > {r.repeat_percent} * n_words AS base_failed FROM m JOIN ref USING (known))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR coalesce(size >= {r.min_chars} AND dc > {r.max_char_distance}, false)
+            OR coalesce(n_words >= {r.min_common} AND dw > {r.max_word_distance}, false)) AS kept
+FROM v
+"""
+
+
+def _op10() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(words)) AS size, words[i:i + least(13, len(words)) - 1] AS win
+       FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, i, words[i:i + size - 1] AS win
+       FROM (SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS i FROM d, sizes)),
+h AS (SELECT doc_id, item_id, dw.size, i FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_license_scan": _op2(),
+    "op9_quality_rules": _op9(),
+    "op10_decontaminate": _op10(),
+}

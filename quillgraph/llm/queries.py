@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, license_scan, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
