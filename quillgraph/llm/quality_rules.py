@@ -88,14 +88,14 @@ def repeated_words(grams: Column, window: int) -> Column:
     return F.when(some, _covered(starts, window)).otherwise(F.lit(0).cast("long"))
 
 
-def _common_counts(lang: Column, text: Column) -> Column:
-    """How often each common word stands between spaces; of two that share a space, the
-    first counts. One byte search a word, and no array of words."""
-    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+def _common_counts(lang: Column, low: Column) -> Column:
+    """How often each common word stands between spaces in the lower-cased and padded text;
+    of two that share a space, the first counts. One byte search a word, and no array."""
     common = F.array_repeat(F.lit(0.0), WORDS_PER_LANG)
     for known, words in COMMON_WORDS.items():
         spans = [
-            (F.length(low) - F.length(F.replace(low, F.lit(f" {w} ")))) / (len(w) + 2) for w in words
+            (F.octet_length(low) - F.octet_length(F.replace(low, F.lit(f" {w} ")))) / (len(w) + 2)
+            for w in words
         ]
         common = F.when(lang == known, F.array(*spans)).otherwise(common)
     return common
@@ -114,6 +114,7 @@ def measured(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFr
         "_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(BLANK_WORD))
     )
     df = df.withColumn("n_words", F.size("_words").cast("long"))
+    df = df.withColumn("_low", F.concat(F.lit(" "), F.lower(t), F.lit(" ")))
     df = df.withColumn("_rare", F.regexp_replace(t, COMMON_RUNS, ""))
     df = df.withColumn("_hashes", word_hashes(F.col("_words")))
     df = df.withColumn("_grams", gram_hashes(F.col("_hashes"), rules.window))
@@ -125,7 +126,7 @@ def measured(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFr
         "_row",
         "_known",
         F.array(size - rare - spaces, spaces, *counts, rare - known).cast("array<double>").alias("_chars"),
-        _common_counts(F.col("_known"), t).alias("_common"),
+        _common_counts(F.col("_known"), F.col("_low")).alias("_common"),
         "n_words",
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (rare - F.length(F.translate("_rare", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
