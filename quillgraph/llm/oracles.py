@@ -116,8 +116,45 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def _op6() -> str:
+    n = 35
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{BLANK_WORD}'), []) AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + {n - 1}], ' ') AS w
+        FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - {n - 1})) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS c FROM win) WHERE c > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + j) AS spots FROM rep, (SELECT unnest(generate_series(0, {n - 1})) AS j) GROUP BY doc_id),
+k AS (SELECT d.doc_id, words, coalesce(spots, []) AS spots, list_filter(words, lambda w, i: spots IS NULL OR NOT list_contains(spots, i)) AS kept
+      FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(words)::BIGINT AS n_words, len(spots)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+def _op7() -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{BLANK_WORD}') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+      ELSE list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles FROM d),
+t AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS sh, len(shingles) AS n FROM s),
+df AS MATERIALIZED (SELECT sh, count(*) AS f FROM t GROUP BY sh),
+o AS MATERIALIZED (SELECT doc_id, sh, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, sh) AS pos FROM t JOIN df USING (sh)),
+p AS MATERIALIZED (SELECT * FROM o WHERE pos <= n - ceil(0.8 * n) + 1),
+c AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.sh = y.sh AND x.doc_id < y.doc_id
+      WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, na, nb, len(list_intersect(x.shingles, y.shingles)) AS k
+      FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b) WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT w.b, r.root FROM r JOIN both_ways w ON w.a = r.id AND r.root < w.b),
+k AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, k.root AS component_id, s.doc_id = k.root AS kept
+FROM s JOIN k ON k.id = s.doc_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _op2(),
+    "op6_substring_dedup": _op6(),
+    "op7_minhash_dedup": _op7(),
     "op9_quality_rules": _op9(),
     "op10_decontaminate": _op10(),
 }

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _digest = xxhash.xxh3_64_intdigest
 
@@ -31,7 +28,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_digest, words), np.uint64, len(words))
 
 
