@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules
+from . import license_scan, mixing, quality_rules
 
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -151,8 +151,32 @@ FROM s JOIN k ON k.id = s.doc_id
 """
 
 
+def mix_sql(docs: str = "documents") -> str:
+    """Common table expressions that end in ``mixed``: doc_id, size, source_size, target, taken."""
+    w = ", ".join(map(str, mixing.WEIGHTS))
+    return f"""
+sz AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{BLANK_WORD}')), 0)::BIGINT AS size,
+       coalesce(source, '') AS src, (source IS NULL)::INT AS none,
+       md5(concat_ws(':', '{mixing.SEED}', doc_id::VARCHAR)) AS sort FROM {docs}),
+tot AS (SELECT none, src, sum(size)::BIGINT AS source_size FROM sz GROUP BY ALL),
+wt AS (SELECT *, ([{w}])[((row_number() OVER (ORDER BY none, src)) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w,
+       source_size::DOUBLE * {mixing.LIMIT} AS cap FROM tot),
+run AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * {mixing.PERCENT / 100}::DOUBLE AS pool, sum(w) OVER () AS all_w,
+        coalesce(sum(w) OVER r, 0.0) AS w_before, coalesce(sum(cap) OVER r, 0.0) AS cap_before FROM wt
+        WINDOW r AS (ORDER BY cap / w, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fl AS (SELECT *, cap * (all_w - w_before) <= w * (pool - cap_before) AS at_cap FROM run),
+goal AS (SELECT none, src, source_size, CASE WHEN at_cap THEN cap ELSE w * (pool - coalesce(sum(cap) FILTER (WHERE at_cap) OVER (), 0.0))
+         / sum(w) FILTER (WHERE NOT at_cap) OVER () END AS target FROM fl),
+pr AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY none, src ORDER BY sort, doc_id, size
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM sz JOIN goal USING (none, src)),
+ep AS (SELECT *, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM pr),
+mixed AS (SELECT doc_id, size, source_size, target,
+          (epochs * size + greatest(least(budget - epochs * source_size - prior, size), 0))::BIGINT AS taken FROM ep)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _op2(),
+    "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",
     "op6_substring_dedup": _op6(),
     "op7_minhash_dedup": _op7(),
     "op9_quality_rules": _op9(),
