@@ -174,8 +174,20 @@ mixed AS (SELECT doc_id, size, source_size, target,
           (epochs * size + greatest(least(budget - epochs * source_size - prior, size), 0))::BIGINT AS taken FROM ep)"""
 
 
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+      min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM q
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _op2(),
+    "op3_warc": _OP3,
     "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",
     "op6_substring_dedup": _op6(),
     "op7_minhash_dedup": _op7(),
