@@ -3,7 +3,7 @@
 Base: every place where a phrase's words stand consecutively. Beside it, every block (a
 line) that holds at least ``THRESHOLD`` of a template's distinct words gets its label:
 
-* tokens of the templates are ordered by how many lines of the corpus hold them, rarest
+* tokens of the templates are ordered by how many documents hold them, rarest
   first (one counting pass; ties by the token itself);
 * prefix filter: a block that reaches ``need`` of a template's ``n`` tokens holds one of
   its ``n - need + 1`` rarest;
@@ -63,17 +63,13 @@ def lines_of(lowered: Column) -> Column:
 
 
 def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of each template token, rarest first, by the lines of all documents that hold it.
+    """Rank of each template token, rarest first, by how many of all documents hold it.
 
     What comes to the driver has a row a template token at most.
     """
-    low = ascii_lower(text_of("text"))
-    some = low.rlike(r"(?:" + "|".join(vocabulary) + ")")
-    held = F.transform(
-        lines_of(low),
-        lambda x: F.array_distinct(F.filter(plain_words(x), lambda w: w.isin(vocabulary))),
-    )
-    found = docs.where(some).select(F.explode(F.flatten(held)).alias("token"))
+    words = plain_words(ascii_lower(text_of("text")))
+    held = F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
+    found = docs.select(F.explode(held).alias("token"))
     counts = {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
     return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
 
@@ -93,7 +89,7 @@ def _phrase_columns(norm: Column, words_in) -> dict[str, tuple[Column, Column, C
     return out
 
 
-def _template_matches(low: Column, ranks: dict[str, int]) -> Column:
+def _template_matches(low: Column, words: Column, ranks: dict[str, int]) -> Column:
     """Structs (label, share) of every (block, template) at or above the threshold."""
     templates = []
     for label, text in TEMPLATES:
@@ -110,6 +106,10 @@ def _template_matches(low: Column, ranks: dict[str, int]) -> Column:
         F.filter(lines_of(low), lambda x: x.rlike(r"(?:" + "|".join(rare_words) + ")")),
         lambda x: F.array_distinct(F.filter(plain_words(x), lambda w: w.isin(tokens))),
     )
+    # most documents hold none of the rare tokens and are not cut into lines
+    held = F.when(F.arrays_overlap(words, F.array(*map(F.lit, rare_words))), held).otherwise(
+        F.array().cast("array<array<string>>")
+    )
     blocks = F.transform(
         F.filter(held, lambda b: F.size(b) >= least),
         lambda b: F.array_sort(F.transform(b, lambda w: F.array_position(lookup, w).cast("int") - 1)),
@@ -154,19 +154,16 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = [c for c in keep if c not in made]
     vocabulary = sorted({t for _, text in TEMPLATES for t in text.split(" ")})
     ranks = token_ranks(docs, vocabulary)
-    marks = "|".join(sorted({p.split(" ")[0] for p in PHRASES.values()}))
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    marks = "|".join(p.replace(" ", gap) for p in PHRASES.values())
     df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("_row"),
         ascii_lower(text_of("text")).alias("_low"),
     )
     low = F.col("_low")
-    df = df.withColumn("_n", F.size(plain_words(low))).withColumn(
-        "_norm",
-        F.when(
-            low.rlike(marks),
-            F.concat(F.lit(" "), F.array_join(plain_words(low), "  "), F.lit(" ")),
-        ).otherwise(F.lit("")),
-    )
+    df = df.withColumn("_words", plain_words(low)).withColumn("_n", F.size("_words"))
+    padded = F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))
+    df = df.withColumn("_norm", F.when(low.rlike(marks), padded).otherwise(F.lit("")))
     words_in = lambda piece: F.size(F.regexp_extract_all(piece, F.lit("[^ ]+"), F.lit(0)))
     found = _phrase_columns(F.col("_norm"), words_in)
     labels = F.array_sort(
@@ -175,7 +172,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             lambda x: x.isNotNull(),
         )
     )
-    df = df.withColumn("_match", _template_matches(low, ranks)).withColumn("_base", labels)
+    df = df.withColumn("_match", _template_matches(low, F.col("_words"), ranks)).withColumn("_base", labels)
     places = sum((n for n, _, _ in found.values()), F.lit(0))
     share = F.array_max(F.transform("_match", lambda m: m["common"] / m["n"]))
     return df.select(
