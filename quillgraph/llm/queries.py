@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import decontaminate, license_scan, minhash_dedup, mixing, quality_rules, substring_dedup, warc
+from . import (
+    decontaminate,
+    html_extract,
+    license_scan,
+    minhash_dedup,
+    mixing,
+    quality_rules,
+    substring_dedup,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +42,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -54,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
