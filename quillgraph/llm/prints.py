@@ -56,30 +56,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def anchors(grams: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest of each ``span`` consecutive hashes (the last of equal ones).
+def anchors(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(at, lo, hi)``: places of the smallest of each ``span`` consecutive hashes (the last of
+    equal ones), and the first and last start of the spans that chose each.
 
     Which place is chosen depends on the span's content alone, so two equal spans choose
-    the same one. Block-wise running minima: O(n) whatever the span.
+    the same one. The place, counted down, takes the low bits of each hash, so there are no
+    ties; running minima by blocks are O(n) whatever the span.
     """
     n = len(grams)
     if n < span:
-        return np.empty(0, np.int64)
-    pad = -n % span
-    order = np.concatenate([grams, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, span)
-    left = np.minimum.accumulate(order, axis=1).ravel()[:n]
-    right = np.minimum.accumulate(order[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+        none = np.empty(0, np.int64)
+        return none, none, none
+    mask = np.uint64((1 << n.bit_length()) - 1)
+    keys = (grams & ~mask) | (mask - np.arange(n, dtype=np.uint64))
+    pad = np.full(-n % span, np.uint64(0xFFFFFFFFFFFFFFFF))
+    blocks = np.concatenate([keys, pad]).reshape(-1, span)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()[:n]
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
     low = np.minimum(right[: n - span + 1], left[span - 1 :])
-    # the last place of each value, among the next ``span`` places, without a search a span
-    same = np.flatnonzero(grams[:-1] == grams[1:]) if n > 1 else ()
-    is_low = np.zeros(n, bool)
-    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    ends = np.concatenate([starts[1:], [len(low)]])
-    if len(same) or len(np.unique(grams)) < n:  # ties: look each span up
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            at = np.flatnonzero(grams[s : e - 1 + span] == low[s]) + s
-            take = np.searchsorted(at, np.arange(s, e) + span, "left") - 1
-            is_low[at[np.unique(take)]] = True
-        return np.flatnonzero(is_low)
-    rank = np.argsort(grams, kind="stable")
-    return np.sort(rank[np.searchsorted(grams, low[starts], sorter=rank)])
+    lo = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    hi = np.concatenate([lo[1:], [len(low)]]) - 1
+    return (mask - (low[lo] & mask)).astype(np.int64), lo, hi

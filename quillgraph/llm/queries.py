@@ -15,6 +15,7 @@ from . import (
     mixing,
     quality_rules,
     substring_dedup,
+    suffix_dedup,
     warc,
 )
 
@@ -34,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_html_extract": op8_html_extract,

@@ -87,7 +87,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(words) < WINDOW:
                 continue
             grams = prints.mixed(prints.rolling(prints.word_hashes(words), GRAM))
-            at = prints.anchors(grams, SPAN)
+            at, _, _ = prints.anchors(grams, SPAN)
             yield from rows.add(len(at), grams[at].view(np.int64), i, key, at.astype(np.int32))
     yield from rows.rest()
 
