@@ -36,11 +36,12 @@ SPAN = WINDOW - GRAM + 1
 
 
 def keyed(docs: DataFrame, *keep) -> DataFrame:
-    """``_id, _key`` (of the text) and the columns ``keep``."""
+    """``_id, _key`` and the columns ``keep``. The key (32 bits, as every shuffled place
+    carries it) tells apart texts that share an id."""
     t = text_of(F.col("text").cast("string"))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
-        F.xxhash64(t).alias("_key"),
+        F.hash(t).alias("_key"),
         *keep,
     )
 
@@ -75,8 +76,8 @@ class Rows:
             self.cols, self.n = [[] for _ in self.schema], 0
 
 
-_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
-_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
+_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int32()), ("at", pa.int32())])
+_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("_id", pa.int64()), ("_key", pa.int32()), ("at", pa.int32())])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,24 +128,24 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     The dealt texts are read twice with the same columns, so their exchange is reused.
     """
     texts = keyed(docs, F.col("text").cast("binary").alias("text"), *keep).repartition("_id", "_key")
-    size = F.length(text_of("text")).alias("_len")
+    same = F.md5(text_of("text").cast("binary")).alias("_text")
     anchors = keyed(docs, F.col("text").cast("binary").alias("text")).mapInArrow(
-        _anchors, "h long, _id long, _key long, at int"
+        _anchors, "h long, _id long, _key int, at int"
     )
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
     copies = (
-        keyed(docs, size)
-        .groupBy("_key", "_len")
+        keyed(docs, same)
+        .groupBy("_text")
         .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep"))
         .where("_copies > 1")
     )
-    ids = keyed(docs, size).dropDuplicates(["_id", "_key"])
-    groups = ids.join(copies, ["_key", "_len"]).select("_id", "_key", "_rep")
+    ids = keyed(docs, same).dropDuplicates(["_id", "_key"])
+    groups = ids.join(copies, "_text").select("_id", "_key", "_rep")
     # of equal texts one goes on; the others' every window starts elsewhere
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
     windows = texts.join(told, ["_id", "_key"]).mapInArrow(
-        _windows, "h long, g int, _id long, _key long, at int"
+        _windows, "h long, g int, _id long, _key int, at int"
     )
     again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     starts = windows.join(again, ["h", "g"]).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
