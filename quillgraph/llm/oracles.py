@@ -185,7 +185,34 @@ FROM q
 """
 
 
+_OP1 = r"""
+WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l0 AS (SELECT rid, conv_id, turn, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM m),
+l1 AS (SELECT *, length(translate(regexp_extract(line, '^(?:[ \t]*>)+'), ' ' || chr(9), '')) AS lv, regexp_replace(line, '^(?:[ \t]*>)+', '') AS body FROM l0),
+l2 AS (SELECT *, CASE WHEN lv = 0 AND lead(lv) OVER (PARTITION BY rid ORDER BY i) > 0
+       AND regexp_matches(body, '(?i)\b(?:wrote|writes|schrieb|a écrit|escribió) ?:[ \t]*$') THEN 1 ELSE lv END AS level FROM l1),
+l3 AS (SELECT *, trim(regexp_replace(lower(body), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm FROM l2),
+own AS (SELECT DISTINCT conv_id, turn, norm FROM l3 WHERE level = 0 AND norm != ''),
+q AS (SELECT conv_id, turn, norm, rid, i, (SELECT max(o.turn) FROM own o WHERE o.conv_id = l3.conv_id AND o.norm = l3.norm AND o.turn < l3.turn) AS source
+      FROM l3 WHERE level > 0 AND norm != ''),
+v AS (SELECT conv_id, turn, source, count(*) AS n FROM q WHERE source IS NOT NULL GROUP BY ALL),
+w AS (SELECT conv_id, turn, arg_max(source, n * 1000000 + source) AS reply, sum(n) AS n_linked FROM v GROUP BY ALL),
+f AS (SELECT norm, min(conv_id) AS origin FROM own GROUP BY norm),
+a AS (SELECT conv_id, turn, min(origin) AS source_conv FROM q JOIN f USING (norm)
+      WHERE source IS NULL AND origin != conv_id AND len(string_split(norm, ' ')) >= 5 GROUP BY ALL),
+g AS (SELECT rid, max(level) AS quote_depth, count(*) FILTER (WHERE level > 0) AS n_quoted,
+      trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), ' ') AS clean_text FROM l2 GROUP BY rid),
+o AS (SELECT m.conv_id, m.turn, m.role, g.*, w.n_linked, a.source_conv,
+      coalesce(w.reply, max(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reply_turn
+      FROM m JOIN g USING (rid) LEFT JOIN w ON w.conv_id = m.conv_id AND w.turn = m.turn LEFT JOIN a ON a.conv_id = m.conv_id AND a.turn = m.turn)
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY reply_turn NULLS FIRST, turn NULLS FIRST, clean_text) - 1 AS position,
+       reply_turn, quote_depth::BIGINT AS quote_depth, n_quoted::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked,
+       source_conv, clean_text FROM o
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_quote_linking": _OP1,
     "op2_license_scan": _op2(),
     "op3_warc": _OP3,
     "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",

@@ -14,6 +14,7 @@ from . import (
     minhash_dedup,
     mixing,
     quality_rules,
+    quote_linking,
     substring_dedup,
     suffix_dedup,
     warc,
@@ -58,6 +59,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.link(table(spark, sf_dir, "conversations"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -67,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quote_linking": op1_quote_linking,
     "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
