@@ -61,7 +61,7 @@ def _prints(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     df = df.withColumn("_grams", gram_hashes(F.col("_hashes"), GRAM))
     sets = [tagged(winnowed(F.col("_grams"), SPAN), WINNOWED)]
     sets += [tagged(F.array_distinct(gram_hashes(F.col("_hashes"), n)), n) for n in lengths]
-    return df.select(*keep, F.inline(F.concat(*sets)))
+    return df.select(*keep, F.concat(*sets).alias("_prints"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def _spans(starts: Column) -> Column:
 KEYS = ("_id", "_k1", "_k2")
 
 
-def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
+def _keyed(docs: DataFrame, *keep) -> DataFrame:
     t = text_of("text")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
@@ -109,18 +109,25 @@ def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each distinct document with a hit: its keys, n_hit, items (distinct item ids)."""
+def hits(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, found)``. A row a document: its keys, ``keep`` and n_words. A row a distinct
+    document with a hit: its keys, n_words, n_hit and items (distinct item ids).
+
+    Documents are cut into words once; their fingerprints, about a fifth of their words,
+    are written to the shared folder.
+    """
     items = written(_words(benchmark, F.col("item_id")), "benchmark")
     lengths = sorted(
         r["_n"] for r in items.where((F.col("_n") > 0) & (F.col("_n") < WINDOW)).select("_n").distinct().collect()
     )  # WINDOW - 1 numbers at most
-    long = _prints(items.where(F.col("_n") >= WINDOW), [])
-    short = _prints(items.where(F.col("_n") < WINDOW), lengths, "_n").where(F.col("kind") == F.col("_n"))
+    long = _prints(items.where(F.col("_n") >= WINDOW), []).select(F.inline("_prints"))
+    short = _prints(items.where(F.col("_n") < WINDOW), lengths, "_n").select("_n", F.inline("_prints"))
+    short = short.where(F.col("kind") == F.col("_n"))
     prints = _sized(written(long.unionByName(short.drop("_n")).distinct(), "prints"))
     keyed = _keyed(docs, "text")
-    own = _prints(_words(keyed, *map(F.col, KEYS)), lengths, *KEYS)
-    hit = own.join(prints, ["kind", "h"]).groupBy(*KEYS)
+    own = _words(_keyed(docs, "text", *keep), *map(F.col, [*KEYS, *keep]))
+    own = written(_prints(own, lengths, *KEYS, *keep, "_n"), "fingerprints")
+    hit = own.select(*KEYS, F.inline("_prints")).join(prints, ["kind", "h"]).groupBy(*KEYS)
     hit = hit.agg(F.collect_set(F.struct("kind", "h")).alias("_hit"))
     near = _words(keyed.join(hit, [*KEYS]), *map(F.col, KEYS), F.col("_hit"))
     of = lambda g: F.transform(F.filter("_hit", lambda x: x["kind"] == g), lambda x: x["h"])
@@ -149,45 +156,47 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 lambda a, n=n: F.struct(a.alias("at"), F.lit(n).alias("size")),
             )
         )
-    cut = near.select(*KEYS, "_words", F.explode(F.concat(*sets)).alias("s")).select(
-        *KEYS, F.col("s.at").alias("at"), F.col("s.size").alias("size"),
+    cut = near.select(*KEYS, "_n", "_words", F.explode(F.concat(*sets)).alias("s")).select(
+        *KEYS, "_n", F.col("s.at").alias("at"), F.col("s.size").alias("size"),
         F.array_join(F.slice("_words", F.col("s.at"), F.col("s.size")), " ").alias("window"),
     )
     windows = _sized(written(_windows(items), "windows"))
-    return (
+    found = (
         cut.join(windows, ["size", "window"])
         .groupBy(*KEYS)
         .agg(
+            F.first("_n").cast("long").alias("n_words"),
             F.collect_set(F.struct("at", "size")).alias("_spans"),
             F.collect_set(F.col("item_id").cast("string")).alias("items"),
         )
-        .select(*KEYS, _spans(F.array_sort("_spans")).alias("n_hit"), "items")
+        .select(*KEYS, "n_words", _spans(F.array_sort("_spans")).alias("n_hit"), "items")
     )
+    return own.select(*KEYS, *keep, F.col("_n").cast("long").alias("n_words")), found
+
+
+def _contaminated(hit: Column, words: Column) -> Column:
+    return (hit > 0) & (hit * SHARE >= words)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row a row of ``docs``."""
-    found = hits(docs, benchmark)
-    t = F.size(plain_words(ascii_lower(text_of("text"))))
-    rows = _keyed(docs.withColumn("_words_in", t), "doc_id", "_words_in")
-    n, hit = F.col("_words_in").cast("long"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    return rows.join(found, [*KEYS], "left").select(
+    rows, found = hits(docs, benchmark, "doc_id")
+    hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.join(found.drop("n_words"), [*KEYS], "left").select(
         "doc_id",
-        n.alias("n_words"),
+        "n_words",
         hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(
-            F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ","), 256
-        ).alias("items_sha256"),
-        ((hit > 0) & (hit * SHARE >= n)).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        _contaminated(hit, F.col("n_words")).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    found = hits(docs, benchmark)
-    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"), "_row")
-    n = F.size(plain_words(ascii_lower(text_of("_row.text"))))
-    hit = F.coalesce(F.col("n_hit"), F.lit(0))
-    kept = rows.join(found, [*KEYS], "left").where(~((hit > 0) & (hit * SHARE >= n)))
+    _, found = hits(docs, benchmark)
+    leaks = found.where(_contaminated(F.col("n_hit"), F.col("n_words"))).select(*KEYS)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    kept = _keyed(docs, row).join(leaks, [*KEYS], "left_anti")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
