@@ -8,12 +8,15 @@ of ``ROWS`` coordinates propose pairs: of a pair at the threshold of 0.8,
 
 Copies and skew: equal sets (by size and 128-bit digest) are one class with the least id
 as its representative, and only representatives are banded. A bucket is never paired with
-itself: first each member is verified against the bucket's least one (a star); members of
-one component need no more verification, so only buckets that still hold several
-components go on, for ``STARS`` rounds to the least member of each further component, and
-then every pair across the components that remain. No link between different texts is
-dropped by this, as what is skipped is already connected. The rounds' sizes follow the
-links, which stay in Spark: components are found by alternating stars.
+itself. Its members are verified against its hub, the member with the most company in all
+its buckets (of a text and its edited copies, the text). Members of one component need no
+more verification; what is left are buckets that still hold several components, mostly of
+texts that share a passage. Their members (``open``) are compared by an exact prefix join,
+which loses no pair at the threshold: elements are ordered rarest first by a sketch of
+``SKETCH`` counters over all open sets (any order is right, a good one is fast), pairs must
+share an element of both prefixes, pass the length and positional filters, and lie in
+different components, whose largest is never paired with itself. They too are verified.
+All links stay in Spark, and components are found by alternating stars.
 
 Edge cases: a null or empty text and one without words has an empty set and is linked
 with nothing; a text of fewer words than ``shingle`` has one element, the whole sequence;
@@ -35,7 +38,7 @@ from . import prints
 from .components import components
 from .scratch import written
 
-ROWS, BANDS, STARS = 4, 32, 2
+ROWS, BANDS, SKETCH = 4, 32, 1 << 20
 COORDS = ROWS * BANDS
 #: Elements hashed at once: COORDS * CHUNK 32-bit numbers fit a core's cache.
 CHUNK = 1024
@@ -138,6 +141,67 @@ def _fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(44)).astype(np.int64) % SKETCH
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["elements"]]
+        if whole:
+            counts += np.bincount(_slots(np.concatenate(whole)), minlength=SKETCH)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "times"])
+
+
+def _prefixer(sketch, percent: int):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(sketch.value, np.int64)
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, root, x in zip(batch["id"].to_pylist(), batch["root"].to_pylist(), batch["elements"]):
+                e = np.frombuffer(x.as_buffer(), np.uint64)
+                times = counts[_slots(e)]
+                length = len(e) + (-len(e) * percent // 100) + 1
+                first = np.lexsort((e, times))[:length]
+                at = np.flatnonzero(times[first] > 1)  # what no other set holds joins nothing
+                m = len(at)
+                for c, v in zip(cols, (e[first[at]].view(np.int64), np.full(m, i), np.full(m, root), np.full(m, len(e)), at)):
+                    c.append(v)
+            names = ["h", "id", "root", "n", "at"]
+            empty = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *c])) for c in cols], names=names)
+
+    return prefixes
+
+
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of ``open_ (id, root)`` that can reach the threshold."""
+    spark = open_.sparkSession
+    own = written(sets.join(open_, "id").select("id", "root", "elements"), "open")
+    counts = own.select("elements").mapInArrow(_counter, "slot long, times long")
+    counts = counts.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # SKETCH rows at most
+    table = np.zeros(SKETCH, np.int64)
+    table[counts["slot"].to_numpy(np.int64)] = counts["times"].to_numpy(np.int64)
+    sketch = spark.sparkContext.broadcast(table.tobytes())
+    rows = written(own.mapInArrow(_prefixer(sketch, percent), "h long, id long, root long, n long, at long"), "prefixes")
+    by_root = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
+    top = by_root.groupBy("h").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("roots"))
+    rows = rows.join(top.where("roots > 1").drop("roots"), "h")
+    x = rows.where("root != top").select("h", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")])
+    both = F.col("n") + F.col("n_x")
+    reach = 1 + F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) - 1
+    likely = (
+        (F.col("root") != F.col("root_x"))
+        & ((F.col("root") == F.col("top")) | (F.col("id") > F.col("id_x")))
+        & _fits("n", "n_x", percent)
+        & (reach * (100 + percent) >= both * percent)
+    )
+    pairs = rows.join(x, (rows["h"] == x["h"]) & likely)
+    return pairs.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``: a row a row of ``docs``; the component of a null
     id is null."""
@@ -147,50 +211,27 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     )
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = (
-        reps.dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    )
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size"))
-    shared = written(members.join(hubs.where("size > 1"), "bucket"), "buckets")
-    star = shared.where((F.col("hub.id") != F.col("id")) & _fits("n", "hub.n", percent))
-    pairs = written(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    members = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(members.join(full, "bucket"), "buckets")
+    company = shared.groupBy("id").agg(F.sum("size").alias("company"))
+    shared = written(shared.join(company, "id").select("bucket", "id", "n", "company"), "buckets")
+    hubs = shared.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "n")).alias("hub"))
+    star = shared.join(hubs, "bucket").withColumn("to", -F.col("hub.minus"))
+    star = star.where((F.col("to") != F.col("id")) & _fits("n", "hub.n", percent))
+    pairs = written(star.select(F.col("to").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     ids = shared.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_setter(shingle), "id long, elements binary"), "sets")
-    found = written(links(pairs, sets, percent).distinct(), "links")
-    tested = pairs
-    for turn in range(STARS + 1):
-        roots = components(found)
-        if shared.isEmpty():
-            break
-        at = shared.select("bucket", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        heads = at.groupBy("bucket", "root").agg(F.min(F.struct("id", "n")).alias("hub"))
-        several = heads.groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1").select("bucket")
-        open_ = written(at.join(several, "bucket", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        if turn < STARS:  # each component's least member against every other member
-            ends = heads.join(several, "bucket", "left_semi").select("bucket", F.col("root").alias("other"), "hub")
-            more = open_.join(ends, "bucket").where(
-                (F.col("root") != F.col("other")) & _fits("n", "hub.n", percent)
-            ).select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
-        else:  # all that is left
-            other = open_.select("bucket", F.col("id").alias("x"), F.col("n").alias("m"), F.col("root").alias("other"))
-            more = open_.join(other, "bucket").where(
-                (F.col("id") > F.col("x")) & (F.col("root") != F.col("other")) & _fits("n", "m", percent)
-            ).select("x", F.col("id").alias("y"))
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if turn < STARS:
-                continue
-            break
-        new = written(links(more, sets, percent), "links")
-        tested = tested.unionByName(more)
-        shared = open_.select("bucket", "id", "n")
-        found = found.unionByName(new)
-        if turn == STARS:
-            roots = components(found)
+    sets = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(sets.mapInArrow(_setter(shingle), "id long, elements binary"), "sets")
+    found = written(links(pairs, sets, percent), "links")
+    roots = components(found)
+    at = shared.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    open_ = at.join(several.select("bucket"), "bucket", "left_semi").select("id", "root").distinct()
+    more = written(_prefix_pairs(written(open_, "open"), sets, percent), "pairs")
+    new = written(links(more, sets, percent), "links")
+    if not new.isEmpty():
+        roots = components(found.unionByName(new))
     out = signed.select("doc_id", "n", "digest").join(classes, ["n", "digest"], "left")
     out = out.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
