@@ -287,7 +287,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(page.labels))
             texts.append([{"node": k, "hash": xxhash.xxh3_64_intdigest(v) - (1 << 63)} for k, v in own.items()])
             hashes.append(xxhash.xxh3_64_intdigest(source or "") - (1 << 63))
-            blocks.append(zlib.compress(json.dumps(page.blocks, ensure_ascii=False).encode(), 1))
+            blocks.append(zlib.compress(json.dumps(page.blocks, ensure_ascii=False).encode(), 6))
         yield pa.RecordBatch.from_arrays(
             [
                 batch["page_id"], batch["url"], pa.array(hosts, pa.string()), pa.array(sizes, pa.int32()),
@@ -309,9 +309,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 memo[tree, model] = match_trees(_page(tree), _page(model))
             out.append([{"node": i, "slot": j} for i, j in memo[tree, model]])
         yield pa.RecordBatch.from_arrays(
-            [batch[c] for c in ("host", "url", "page_id", "page_hash", "texts")]
+            [batch[c] for c in ("host", "page_id", "page_hash", "texts")]
             + [pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("slot", pa.int32())])))],
-            names=["host", "url", "page_id", "page_hash", "texts", "pairs"],
+            names=["host", "page_id", "page_hash", "texts", "pairs"],
         )
 
 
@@ -345,13 +345,13 @@ def extract(pages: DataFrame) -> DataFrame:
         ),
         "parsed",
     )
-    light = parsed.drop("blocks")
+    light = parsed.drop("blocks", "url")
     models = light.groupBy("host").agg(F.min(F.struct("nodes", "page_id", "tree")).alias("m"), F.count("*").alias("n"))
     models = models.where(F.col("n") >= MIN_PAGES).select("host", F.col("m.tree").alias("model"))
     pairs = written(
-        light.join(models, "host").select("host", "url", "page_id", "page_hash", "texts", "tree", "model").mapInArrow(
+        light.join(models, "host").select("host", "page_id", "page_hash", "texts", "tree", "model").mapInArrow(
             _align,
-            "host string, url string, page_id long, page_hash long, texts array<struct<node:int,hash:long>>, "
+            "host string, page_id long, page_hash long, texts array<struct<node:int,hash:long>>, "
             "pairs array<struct<node:int,slot:int>>",
         ),
         "aligned",
