@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.ids import family_of
 from ..schema import EDGE_KEY
+from ..shared import written
 
 _SCALARS = ["kind", "label", "body", "file", "line", "end", "community"]
 
@@ -94,10 +95,8 @@ def co_declared(nodes: DataFrame, stale: DataFrame) -> DataFrame:
     """``rel``: files to read again, the stale ones and, transitively, those that share a node
     with one of them. Files and ids form a bipartite graph; the frontier is dealt anew
     each round and the loop ends when it is empty."""
-    spark = nodes.sparkSession
     pairs = nodes.where(F.size("files") > 1).select("id", F.explode("files").alias("rel")).persist()
-    seen = stale.select("rel").distinct().checkpoint() if _can_cut(spark) else stale.select("rel").distinct()
-    frontier = seen
+    seen = frontier = stale.select("rel").distinct()
     while not frontier.isEmpty():
         ids = pairs.join(frontier, "rel", "left_semi").select("id").distinct()
         new = pairs.join(ids, "id", "left_semi").select("rel").distinct().join(seen, "rel", "left_anti")
@@ -107,20 +106,9 @@ def co_declared(nodes: DataFrame, stale: DataFrame) -> DataFrame:
     return seen
 
 
-def _can_cut(spark) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; a session that names none (a
-    local test) gets a temporary folder of its own."""
-    spark = df.sparkSession
-    if not _can_cut(spark):
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-"))
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared folder."""
+    return written(df, "cut")
 
 
 def widen_by_header(old: DataFrame, new: DataFrame, exempt: tuple[str, ...] = ("typescript",)) -> DataFrame:

@@ -5,18 +5,19 @@ What a walk may do at a symbol (follow an edge, inherit through its class, go th
 interface or a barrel's alias) is laid out once a snapshot as a table of steps. A layer is
 then one join of the frontier with the steps, one aggregation that picks each node's best
 arrival, and one anti-join with what was seen; roots are a column, so a thousand walks are
-one plan. Frontiers are persisted, and recomputed if an executor is lost.
+one plan. Layers are written to the shared folder, which keeps plans short
+and survives lost executors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import edge_rank
+from ..shared import written
 
 #: Aliases, members and re-export chains are followed this far at most, which cycles end before.
 LONGEST = 50
@@ -47,13 +48,13 @@ def walked(edges: DataFrame) -> DataFrame:
 
 def _fixpoint(start: DataFrame, grow, key: list[str]) -> DataFrame:
     """``start`` and all that ``grow(frontier)`` adds, each ``key`` at its first round (``hop``)."""
-    seen = frontier = start.withColumn("hop", F.lit(0)).persist()
+    seen = frontier = written(start.withColumn("hop", F.lit(0)), "walk")
     for hop in range(1, LONGEST + 1):
-        new = grow(frontier).dropDuplicates(key).join(seen.select(*key), key, "left_anti")
-        new = new.withColumn("hop", F.lit(hop)).persist()
-        if new.isEmpty():
+        if frontier.isEmpty():
             break
-        seen, frontier = seen.unionByName(new).persist(), new
+        new = grow(frontier).dropDuplicates(key).join(seen.select(*key), key, "left_anti")
+        frontier = written(new.withColumn("hop", F.lit(hop)), "walk")
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -90,7 +91,7 @@ def _rebased(name: Column, head: Column) -> Column:
 
 def aliases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, alias, hop``: every name a barrel gives a symbol, through chains of re-exports."""
-    re_ = reexports(edges).persist()
+    re_ = written(reexports(edges), "reexports")
     start = nodes.where("kind = 'Symbol'").select("id", F.col("file").alias("at"), name_of_symbol(F.col("id")).alias("name"))
     start = start.join(re_.select(F.col("file").alias("at")).distinct(), "at", "left_semi").select("id", "at", "name")
 
@@ -109,7 +110,7 @@ def declared_behind(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     known = nodes.select(F.col("id").alias("exact"))
     direct = ids.select("id").distinct().join(known, F.col("id") == F.col("exact"))
     rest = ids.select("id").distinct().join(direct.select("id"), "id", "left_anti").where(F.col("id").startswith("sym:"))
-    re_ = reexports(edges).persist()
+    re_ = written(reexports(edges), "reexports")
     start = rest.select("id", file_of_symbol(F.col("id")).alias("at"), name_of_symbol(F.col("id")).alias("name"))
 
     def grow(f: DataFrame) -> DataFrame:
@@ -129,7 +130,8 @@ def canonical(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     while rounds < 8:
         hit = todo.join(declared_behind(nodes, edges, todo.select(F.col("at").alias("id"))).withColumnRenamed("id", "at"), "at")
         out.append(hit.select("id", F.col("exact").alias("canonical")))
-        todo = todo.join(hit.select("id"), "id", "left_anti").select("id", container(F.col("at")).alias("at")).where("at is not null").persist()
+        todo = todo.join(hit.select("id"), "id", "left_anti").select("id", container(F.col("at")).alias("at")).where("at is not null")
+        todo = written(todo, "todo")
         if todo.isEmpty():
             break
         rounds += 1
@@ -146,27 +148,37 @@ def dispatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("member", "contract").join(nodes.select(F.col("id").alias("contract")), "contract", "left_semi")
 
 
-@dataclass(frozen=True)
 class Snapshot:
-    """A graph with what its walks need laid out."""
+    """A graph with what its walks need, each table laid out and written when first asked for."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    members: DataFrame
-    aliases: DataFrame
-    dispatch: DataFrame
-    up: DataFrame  # at, other, kind, passed, part, rank
-    down: DataFrame  # at, other, kind, passed, part, rank, goes_on
+    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+        self.nodes, self.edges = nodes, edges
 
     @staticmethod
     def of(nodes: DataFrame, edges: DataFrame) -> Snapshot:
-        nodes, edges = nodes.persist(), edges.persist()
-        m, a, d = members(edges).persist(), aliases(nodes, edges).persist(), dispatch(nodes, edges).persist()
-        up = _up_steps(nodes, edges, a, d).persist()
-        return Snapshot(nodes, edges, m, a, d, up, _down_steps(nodes, edges, m, d).persist())
+        return Snapshot(written(nodes, "nodes"), written(edges, "edges"))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return written(members(self.edges), "members")
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return written(aliases(self.nodes, self.edges), "aliases")
+
+    @cached_property
+    def dispatch(self) -> DataFrame:
+        return written(dispatch(self.nodes, self.edges), "dispatch")
 
+    @cached_property
+    def up(self) -> DataFrame:
+        """at, other, kind, passed, part, rank"""
+        return written(_up_steps(self.nodes, self.edges, self.aliases, self.dispatch), "up")
 
-_STEP = ["at", "other", "kind", "passed", "part", "rank"]
+    @cached_property
+    def down(self) -> DataFrame:
+        """at, other, kind, passed, part, rank, goes_on"""
+        return written(_down_steps(self.nodes, self.edges, self.members, self.dispatch), "down")
 
 
 def _up_steps(nodes: DataFrame, edges: DataFrame, alias: DataFrame, disp: DataFrame) -> DataFrame:
@@ -189,8 +201,8 @@ def _up_steps(nodes: DataFrame, edges: DataFrame, alias: DataFrame, disp: DataFr
 
 def _down_steps(nodes: DataFrame, edges: DataFrame, member: DataFrame, disp: DataFrame) -> DataFrame:
     w = walked(edges).select(F.col("source").alias("from"), "target", "kind", "passed", "rank")
-    targets = w.select(F.col("target").alias("id")).distinct().persist()
-    exact = declared_behind(nodes, edges, targets).persist()
+    targets = written(w.select(F.col("target").alias("id")).distinct(), "targets")
+    exact = written(declared_behind(nodes, edges, targets), "exact")
     folded = canonical(nodes, edges, targets.join(exact.select("id"), "id", "left_anti"))
     lands = exact.select(F.col("id").alias("target"), F.col("exact").alias("other"), F.lit(True).alias("goes_on"))
     lands = lands.unionByName(folded.select(F.col("id").alias("target"), F.col("canonical").alias("other"), F.lit(False).alias("goes_on")))
@@ -243,14 +255,15 @@ def walk(snap: Snapshot, roots: DataFrame, depth: int = 3, up: bool = True) -> D
     if up:
         extra = undeclared(snap, start).withColumn("pos", F.lit(10_000))
         start = start.unionByName(extra.select(*start.columns))
-    frontier = start.persist()
+    frontier = written(start, "frontier")
     seen, out = frontier.select("root", F.col("at").alias("id")), []
     goes_on = F.lit(True) if up else F.col("goes_on")
     for d in range(1, depth + 1):
         hit = frontier.join(steps, "at").withColumnRenamed("other", "id")
         best = F.min(F.struct("passed", "pos", "at", "part", "rank", "kind", "via")).alias("b")
         new = hit.groupBy("root", "id").agg(best, F.max(goes_on).alias("open")).join(seen, ["root", "id"], "left_anti")
-        new = new.select("root", "id", F.lit(d).alias("depth"), "b.kind", "b.via", "b.passed", "open").persist()
+        new = new.select("root", "id", F.lit(d).alias("depth"), "b.kind", "b.via", "b.passed", "open")
+        new = written(new, "layer")
         out.append(new.drop("open"))
         if d == depth or new.isEmpty():
             break
@@ -309,7 +322,8 @@ def trace(snap: Snapshot, ends: DataFrame, depth: int = 6) -> DataFrame:
     if depth < 1:
         raise ValueError("depth starts at 1")
     step = F.struct(F.col("from").alias("id"), F.lit(False).alias("passed"))
-    start = ends.select("from", "to", F.col("from").alias("at"), F.array(step).alias("path")).persist()
+    start = ends.select("from", "to", F.col("from").alias("at"), F.array(step).alias("path"))
+    start = written(start, "ends")
     goal = seeds(snap, ends.select(F.col("to").alias("root"))).select(F.col("root").alias("to"), F.col("at").alias("id"))
     out, seen, frontier = [start.where("from = to")], start.select("from", "to", F.col("at").alias("id")), start.where("from != to")
     for _ in range(depth):
@@ -317,7 +331,8 @@ def trace(snap: Snapshot, ends: DataFrame, depth: int = 6) -> DataFrame:
         path = F.concat("path", F.array(F.struct(F.col("other").alias("id"), "passed")))
         new = hit.select("from", "to", F.col("other").alias("id"), "passed", "part", "rank", "goes_on", path.alias("path"))
         best = F.min(F.struct(F.size("path"), F.transform("path", lambda p: p["id"]), "passed", "part", "rank", "path", "goes_on")).alias("b")
-        new = new.groupBy("from", "to", "id").agg(best).join(seen, ["from", "to", "id"], "left_anti").persist()
+        new = new.groupBy("from", "to", "id").agg(best).join(seen, ["from", "to", "id"], "left_anti")
+        new = written(new, "layer")
         there = new.join(goal, ["to", "id"], "left_semi")
         out.append(there.select("from", "to", F.col("id").alias("at"), "b.path"))
         if new.isEmpty():

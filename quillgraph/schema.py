@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "LONG": T.LongType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From ``name KIND, ...``, without a session."""
+    return T.StructType([T.StructField(n.strip("`"), _KINDS[k]) for n, k in (f.split() for f in text.split(", "))])
 
 
 NODES = _struct(
