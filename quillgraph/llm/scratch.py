@@ -1,38 +1,7 @@
-"""Shared scratch tables: the folder named by ``spark.checkpoint.dir``, or a fresh one in tests."""
+"""Shared scratch tables; see ``quillgraph.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..shared import fresh_dir, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI or path.
-
-    Only a session that names none (a local test) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    mine = getattr(shared_dir, "local", None)
-    if mine is None:
-        mine = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-    return mine
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The result's lineage starts at replicated files, so a lost executor costs at most
-    the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_dir", "shared_dir", "written"]
