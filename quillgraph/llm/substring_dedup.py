@@ -93,11 +93,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows.rest()
 
 
-def near(at: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the windows that hold one of the runs at ``at``, ascending."""
-    mark = np.zeros(n - WINDOW + 2, np.int32)
-    np.add.at(mark, np.maximum(at - (WINDOW - GRAM), 0), 1)
-    np.add.at(mark, np.minimum(at, n - WINDOW) + 1, -1)
+def chosen_by(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of the windows whose own anchor is one of those at ``at``, ascending."""
+    places, lo, hi = prints.anchors(prints.mixed(prints.rolling(words, GRAM)), SPAN)
+    take = np.isin(places, at)
+    mark = np.zeros(len(words) - WINDOW + 2, np.int32)
+    mark[lo[take]] += 1
+    mark[hi[take] + 1] -= 1
     return np.flatnonzero(np.cumsum(mark)[:-1] > 0)
 
 
@@ -106,7 +108,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, key, text, at in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_at"))):
             words = prints.word_hashes(find_words(text))
-            starts = near(np.asarray(at, np.int64), len(words))
+            starts = chosen_by(words, np.asarray(at, np.int64))
             h = prints.rolling(words, WINDOW)[starts].view(np.int64)
             g = (prints.mixed(prints.rolling(words, WINDOW, 1)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield from rows.add(len(starts), h, g, i, key, starts.astype(np.int32))
