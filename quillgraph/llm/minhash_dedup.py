@@ -38,7 +38,7 @@ from . import prints
 from .components import components
 from .scratch import written
 
-ROWS, BANDS, SKETCH = 4, 32, 1 << 20
+ROWS, BANDS, SKETCH = 4, 32, 1 << 19
 COORDS = ROWS * BANDS
 #: Elements hashed at once: COORDS * CHUNK 32-bit numbers fit a core's cache.
 CHUNK = 1024
@@ -181,9 +181,9 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = open_.sparkSession
     own = written(sets.join(open_, "id").select("id", "root", "elements"), "open")
     counts = own.select("elements").mapInArrow(_counter, "slot long, times long")
-    counts = counts.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # SKETCH rows at most
+    counts = counts.groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # SKETCH rows at most
     table = np.zeros(SKETCH, np.int64)
-    table[counts["slot"].to_numpy(np.int64)] = counts["times"].to_numpy(np.int64)
+    table[counts["slot"].to_numpy()] = counts["times"].to_numpy()
     sketch = spark.sparkContext.broadcast(table.tobytes())
     rows = written(own.mapInArrow(_prefixer(sketch, percent), "h long, id long, root long, n long, at long"), "prefixes")
     by_root = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
