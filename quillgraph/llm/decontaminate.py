@@ -81,6 +81,10 @@ def _windows(items: DataFrame) -> DataFrame:
     )
 
 
+def _sized_starts(starts: Column, size: int) -> Column:
+    return F.transform(starts, lambda a: F.struct(a.alias("at"), F.lit(size).alias("size")))
+
+
 def _spans(starts: Column) -> Column:
     """Words covered by the union of (start, size) spans, ascending."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
@@ -147,15 +151,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame,
     starts = F.when(
         (F.col("_n") >= WINDOW) & (F.size("_main") > 0), F.array_distinct(around)
     ).otherwise(F.array().cast("array<int>"))
-    sets = [F.transform(starts, lambda a: F.struct(a.alias("at"), F.lit(WINDOW).alias("size")))]
+    sets = [_sized_starts(starts, WINDOW)]
     for n in lengths:
         near = near.withColumn(f"_short{n}", of(n))
-        sets.append(
-            F.transform(
-                F.when(F.size(f"_short{n}") > 0, spots(F.col(f"_short{n}"), n)).otherwise(F.array().cast("array<int>")),
-                lambda a, n=n: F.struct(a.alias("at"), F.lit(n).alias("size")),
-            )
-        )
+        found_at = F.when(F.size(f"_short{n}") > 0, spots(F.col(f"_short{n}"), n))
+        found_at = found_at.otherwise(F.array().cast("array<int>"))
+        sets.append(_sized_starts(found_at, n))
     cut = near.select(*KEYS, "_n", "_words", F.explode(F.concat(*sets)).alias("s")).select(
         *KEYS, "_n", F.col("s.at").alias("at"), F.col("s.size").alias("size"),
         F.array_join(F.slice("_words", F.col("s.at"), F.col("s.size")), " ").alias("window"),

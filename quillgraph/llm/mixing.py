@@ -100,6 +100,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     text_key = F.xxhash64(text_of("text"))
     found = mix(written(sized(docs, text_key.alias("_key")), "sizes"), "_key").where("taken > 0")
     found = found.dropDuplicates(["doc_id", "_key"]).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_text"), *made)
-    rows = docs.drop(*made).withColumn("_here", text_key)
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_text")))
-    return rows.select(*[c for c in docs.columns if c not in made], *made)
+    own = [c for c in docs.columns if c not in made]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").alias("_doc"), text_key.alias("_here"))
+    rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_text")))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], *made)
