@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, minhash_dedup, mixing, quality_rules, substring_dedup
+from quillgraph.llm.oracles import pipeline_sql
 from quillgraph.llm.queries import table
 from quillgraph.llm.scratch import written
 from quillgraph.shipping import ship
@@ -49,9 +50,8 @@ STAGES = [
     ("mixing", source_mix),
 ]
 
-#: Approximate candidate search and divergence verdicts have no SQL form of their own here;
-#: tests compare the stages with brute force.
-ORACLE_SQL: str | None = None
+#: run()'s rows in DuckDB: exact joins where the stages search, so both agree on every document.
+ORACLE_SQL: str | None = pipeline_sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

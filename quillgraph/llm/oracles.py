@@ -57,7 +57,7 @@ def _distance(p: str, q: str) -> str:
     )
 
 
-def _op9() -> str:
+def quality_sql(docs: str = "documents") -> str:
     r = quality_rules.Rules()
     quote = lambda x: x.replace("'", "''")
     counts = [f"(length(rare) - length(regexp_replace(rare, '{quote(p)}', '', 'g')))" for p in quality_rules.CLASSES.values()]
@@ -71,7 +71,7 @@ def _op9() -> str:
     known = ", ".join(f"'{x}'" for x in quality_rules.COMMON_WORDS)
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE '' END AS known FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE '' END AS known FROM {docs}),
 w AS (SELECT *, regexp_extract_all(t, '{BLANK_WORD}') AS words, regexp_replace(t, '{quality_rules.COMMON_RUNS}', '', 'g') AS rare,
       ' ' || lower(t) || ' ' AS low,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{BLANK_WORD}')) AS lines FROM d),
@@ -97,9 +97,9 @@ FROM v
 """
 
 
-def _op10() -> str:
+def leaks_sql(docs: str = "documents") -> str:
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM {docs}),
 b AS (SELECT item_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(13, len(words)) AS size, words[i:i + least(13, len(words)) - 1] AS win
        FROM (SELECT item_id, words, unnest(generate_series(1, len(words) - least(13, len(words)) + 1)) AS i FROM b WHERE len(words) > 0)),
@@ -116,25 +116,26 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
-def _op6() -> str:
+def repeats_sql(docs: str = "documents", columns: str | None = None) -> str:
     n = 35
+    columns = columns or "doc_id, len(words)::BIGINT AS n_words, len(spots)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{BLANK_WORD}'), []) AS words FROM documents),
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{BLANK_WORD}'), []) AS words FROM {docs}),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + {n - 1}], ' ') AS w
         FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - {n - 1})) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS c FROM win) WHERE c > 1),
 gone AS (SELECT doc_id, list(DISTINCT i + j) AS spots FROM rep, (SELECT unnest(generate_series(0, {n - 1})) AS j) GROUP BY doc_id),
 k AS (SELECT d.doc_id, words, coalesce(spots, []) AS spots, list_filter(words, lambda w, i: spots IS NULL OR NOT list_contains(spots, i)) AS kept
       FROM d LEFT JOIN gone USING (doc_id))
-SELECT doc_id, len(words)::BIGINT AS n_words, len(spots)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+SELECT {columns} FROM k
 """
 
 
-def _op7() -> str:
+def near_sql(docs: str = "documents", k: int = 2) -> str:
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{BLANK_WORD}') AS words FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
-      ELSE list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles FROM d),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{BLANK_WORD}') AS words FROM {docs}),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+      ELSE list_transform(generate_series(1, len(words) - {k - 1}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')) END) AS shingles FROM d),
 t AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS sh, len(shingles) AS n FROM s),
 df AS MATERIALIZED (SELECT sh, count(*) AS f FROM t GROUP BY sh),
 o AS MATERIALIZED (SELECT doc_id, sh, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, sh) AS pos FROM t JOIN df USING (sh)),
@@ -216,8 +217,23 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": _op2(),
     "op3_warc": _OP3,
     "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",
-    "op6_substring_dedup": _op6(),
-    "op7_minhash_dedup": _op7(),
-    "op9_quality_rules": _op9(),
-    "op10_decontaminate": _op10(),
+    "op6_substring_dedup": repeats_sql(),
+    "op7_minhash_dedup": near_sql(),
+    "op9_quality_rules": quality_sql(),
+    "op10_decontaminate": leaks_sql(),
 }
+
+
+def pipeline_sql() -> str:
+    """The pipeline's five stages, each over what the one before it kept."""
+    kept = "doc_id, len(spots) AS n_removed, array_to_string(kept, ' ') AS rest"
+    return f"""
+WITH s1 AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({quality_sql()}) v USING (doc_id) WHERE v.kept),
+s2 AS MATERIALIZED (SELECT d.* FROM s1 d JOIN ({near_sql("s1", 5)}) v USING (doc_id) WHERE v.kept),
+r3 AS MATERIALIZED ({repeats_sql("s2", kept)}),
+s3 AS MATERIALIZED (SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars FROM (
+  SELECT doc_id, CASE WHEN n_removed = 0 THEN text ELSE rest END AS text, lang, source FROM s2 JOIN r3 USING (doc_id)) WHERE text != ''),
+s4 AS MATERIALIZED (SELECT d.* FROM s3 d JOIN ({leaks_sql("s3")}) v USING (doc_id) WHERE NOT v.contaminated),
+{mix_sql("s4")}
+SELECT s4.*, m.size, m.source_size, m.target, m.taken FROM s4 JOIN mixed m USING (doc_id) WHERE m.taken > 0
+"""
