@@ -84,9 +84,9 @@ def _bm25(spark: SparkSession, d: str, questions: dict[str, str]) -> DataFrame:
     return lexical.search(index, keys, 20).select("q", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_bm25_sql({"q": "threa"}))
+@query(_bm25_sql({"q": "the"}))
 def bm25_topk(spark, d):
-    return _bm25(spark, d, {"q": "threa"})
+    return _bm25(spark, d, {"q": "the"})
 
 
 @query(_bm25_sql(ASKED))

@@ -24,11 +24,21 @@ class Index:
     postings: DataFrame  # gram, key, id, tf
     lengths: DataFrame  # id, len
     corpus: DataFrame  # n, avg_len
+    occurrences: DataFrame | None = None  # gram, key, id; None once the postings are kept
 
     def persist(self) -> Index:
         """Keep a snapshot's tables for many questions."""
         return Index(self.postings.persist(), self.lengths.persist(), self.corpus.persist())
 
+    def matching(self, keys: DataFrame) -> DataFrame:
+        """The postings of the questions' keys. Of an index that is not kept, occurrences are
+        joined with the keys before they are counted, so the rest is never shuffled."""
+        wanted = keys.select("gram", "key").distinct()
+        if self.occurrences is None:
+            return self.postings.join(wanted, ["gram", "key"], "left_semi")
+        hit = self.occurrences.join(wanted, ["gram", "key"], "left_semi")
+        return hit.groupBy("gram", "key", "id").agg(F.count("*").cast("int").alias("tf"))
+
 
 def indexed_body(kind: Column, body: Column) -> Column:
     """Of a symbol, the last line of its body; of others all of it."""
@@ -49,12 +59,13 @@ def build(texts: DataFrame, stemmed: bool = True) -> Index:
         lambda a, b: F.struct(F.lit("pair").alias("gram"), F.concat_ws(" ", a, b).alias("key")),
     )
     terms = F.transform("toks", lambda t: F.struct(F.lit("term").alias("gram"), t.alias("key")))
-    postings = toks.select("id", F.inline(F.concat(terms, pairs))).groupBy("gram", "key", "id")
+    spots = toks.select("id", F.inline(F.concat(terms, pairs)))
+    postings = spots.groupBy("gram", "key", "id")
     lengths = toks.select("id", n.alias("len"))
     corpus = lengths.agg(
         F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len")
     )
-    return Index(postings.agg(F.count("*").cast("int").alias("tf")), lengths, corpus)
+    return Index(postings.agg(F.count("*").cast("int").alias("tf")), lengths, corpus, spots)
 
 
 def of_nodes(nodes: DataFrame, stemmed: bool = True) -> tuple[Index, Index]:
@@ -80,13 +91,14 @@ def idf(n: Column, df: Column) -> Column:
 
 def frequencies(index: Index, keys: DataFrame) -> DataFrame:
     """``gram, key, df`` of the questions' keys."""
-    wanted = keys.select("gram", "key").distinct()
-    return index.postings.join(wanted, ["gram", "key"]).groupBy("gram", "key").agg(F.count("*").alias("df"))
+    return index.matching(keys).groupBy("gram", "key").agg(F.count("*").alias("df"))
 
 
 def search(index: Index, keys: DataFrame, k: int | None = 20) -> DataFrame:
     """``q, id, score, rank``: the ``k`` best documents of each question, ties by id."""
-    hits = index.postings.join(keys, ["gram", "key"]).join(frequencies(index, keys), ["gram", "key"])
+    found = index.matching(keys)
+    df = found.groupBy("gram", "key").agg(F.count("*").alias("df"))
+    hits = found.join(keys, ["gram", "key"]).join(df, ["gram", "key"])
     hits = hits.join(index.lengths, "id").crossJoin(F.broadcast(index.corpus))  # one row of statistics
     weight = F.when(F.col("gram") == "pair", PAIR).otherwise(1.0)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))

@@ -92,6 +92,8 @@ def _rebased(name: Column, head: Column) -> Column:
 def aliases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, alias, hop``: every name a barrel gives a symbol, through chains of re-exports."""
     re_ = written(reexports(edges), "reexports")
+    if re_.isEmpty():
+        return nodes.select("id", F.col("id").alias("alias"), F.lit(0).alias("hop")).limit(0)
     start = nodes.where("kind = 'Symbol'").select("id", F.col("file").alias("at"), name_of_symbol(F.col("id")).alias("name"))
     start = start.join(re_.select(F.col("file").alias("at")).distinct(), "at", "left_semi").select("id", "at", "name")
 
@@ -111,6 +113,8 @@ def declared_behind(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
     direct = ids.select("id").distinct().join(known, F.col("id") == F.col("exact"))
     rest = ids.select("id").distinct().join(direct.select("id"), "id", "left_anti").where(F.col("id").startswith("sym:"))
     re_ = written(reexports(edges), "reexports")
+    if re_.isEmpty():
+        return direct.select("id", "exact")
     start = rest.select("id", file_of_symbol(F.col("id")).alias("at"), name_of_symbol(F.col("id")).alias("name"))
 
     def grow(f: DataFrame) -> DataFrame:
