@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prints
@@ -35,15 +35,21 @@ WINDOW, GRAM = 35, 8
 SPAN = WINDOW - GRAM + 1
 
 
-def keyed(docs: DataFrame, *keep) -> DataFrame:
-    """``_id, _key`` and the columns ``keep``. The key (32 bits, as every shuffled place
-    carries it) tells apart texts that share an id."""
-    t = text_of(F.col("text").cast("string"))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
-        F.hash(t).alias("_key"),
-        *keep,
-    )
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+
+
+def text_key(docs: DataFrame) -> Column:
+    """What tells apart texts that share an id: 0 if no id repeats (every shuffled place carries
+    it, and a constant costs nothing there), else 32 bits of the text's hash."""
+    if docs.groupBy(_id()).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return F.lit(0)
+    return F.hash(text_of(F.col("text").cast("string")))
+
+
+def keyed(docs: DataFrame, key: Column, *keep) -> DataFrame:
+    """``_id, _key`` and the columns ``keep``."""
+    return docs.select(_id().alias("_id"), key.alias("_key"), *keep)
 
 
 def find_words(text: bytes | None) -> list[bytes]:
@@ -129,20 +135,21 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
 
     The dealt texts are read twice with the same columns, so their exchange is reused.
     """
-    texts = keyed(docs, F.col("text").cast("binary").alias("text"), *keep).repartition("_id", "_key")
+    key = text_key(docs)
+    texts = keyed(docs, key, F.col("text").cast("binary").alias("text"), *keep).repartition("_id", "_key")
     same = F.md5(text_of("text").cast("binary")).alias("_text")
-    anchors = keyed(docs, F.col("text").cast("binary").alias("text")).mapInArrow(
+    anchors = keyed(docs, key, F.col("text").cast("binary").alias("text")).mapInArrow(
         _anchors, "h long, _id long, _key int, at int"
     )
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
     copies = (
-        keyed(docs, same)
+        keyed(docs, key, same)
         .groupBy("_text")
         .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep"))
         .where("_copies > 1")
     )
-    ids = keyed(docs, same).dropDuplicates(["_id", "_key"])
+    ids = keyed(docs, key, same).dropDuplicates(["_id", "_key"])
     groups = ids.join(copies, "_text").select("_id", "_key", "_rep")
     # of equal texts one goes on; the others' every window starts elsewhere
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prints
-from .substring_dedup import Rows, keyed
+from .substring_dedup import Rows, keyed, text_key
 from .text import text_of
 
 WINDOW, GRAM, HOT = 200, 32, 50_000
@@ -266,19 +266,20 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     """``text``, the columns ``keep``, ``_whole`` (equal texts exist) and ``_runs`` (starts of
     repeated strings, as [s, e)): a row a row of ``docs``."""
     raw = F.col("text").cast("binary").alias("text")
-    texts = keyed(docs, raw, *keep).repartition("_id", "_key")
+    key = text_key(docs)
+    texts = keyed(docs, key, raw, *keep).repartition("_id", "_key")
     same = F.md5(text_of("text").cast("binary")).alias("_text")
-    anchors = keyed(docs, raw).mapInArrow(_anchors, "h long, _id long, _key int, at int")
+    anchors = keyed(docs, key, raw).mapInArrow(_anchors, "h long, _id long, _key int, at int")
     twice = anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
     spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(
         F.collect_set(F.when(F.col("times") <= HOT, F.col("at"))).alias("_cold"),
         F.collect_set(F.when(F.col("times") > HOT, F.col("at"))).alias("_hot"),
     )
     copies = (
-        keyed(docs, same).groupBy("_text")
+        keyed(docs, key, same).groupBy("_text")
         .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep")).where("_copies > 1")
     )
-    groups = keyed(docs, same).dropDuplicates(["_id", "_key"]).join(copies, "_text")
+    groups = keyed(docs, key, same).dropDuplicates(["_id", "_key"]).join(copies, "_text")
     groups = groups.select("_id", "_key", "_rep")
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
     joined = texts.join(told, ["_id", "_key"])
