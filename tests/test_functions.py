@@ -59,3 +59,14 @@ def test_normalise(spark, base, target, out):
     assert paths.normalise(base, target) == out
     whole = target if target.startswith("/") else f"{base}/{target}"
     assert spark.range(1).select(paths.normalise_column(F.lit(whole))).first()[0] == out
+
+
+def test_scratch_is_written_and_cleared(spark):
+    from quillgraph.shared import _own, clear, written
+
+    df = written(spark.range(3), "numbers")
+    assert df.count() == 3
+    clear(spark)
+    import os
+
+    assert not os.path.exists(_own(spark).removeprefix("file://"))
