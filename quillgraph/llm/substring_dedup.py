@@ -41,9 +41,14 @@ def _id() -> Column:
 
 def text_key(docs: DataFrame) -> Column:
     """What tells apart texts that share an id: 0 if no id repeats (every shuffled place carries
-    it, and a constant costs nothing there), else 32 bits of the text's hash."""
+    it, and a constant costs nothing there), else 32 bits of the text's hash.
+
+    The 0 is one that the optimizer neither sees through nor takes for nullable: a literal
+    would be folded out of the join keys, and a check for null would be added on one side
+    of two; either way the dealt texts would be dealt twice.
+    """
     if docs.groupBy(_id()).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return F.lit(0)
+        return F.coalesce(F.pmod(F.hash("doc_id"), F.lit(1)), F.lit(0))
     return F.hash(text_of(F.col("text").cast("string")))
 
 
