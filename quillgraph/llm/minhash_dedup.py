@@ -6,8 +6,11 @@ coordinate k is the least value of pi over the set shifted circularly by k. ``BA
 of ``ROWS`` coordinates propose pairs: of a pair at the threshold of 0.8,
 (1 - 0.8 ** 4) ** 32 = 5e-8 go unproposed. Every proposed pair is verified on full sets.
 
-Copies and skew: equal sets (by size and 128-bit digest) are one class with the least id
-as its representative, and only representatives are banded. A bucket is never paired with
+Rows are told apart by a number they get when they are signed, never by id: ids may repeat
+or be null. A row's text is found again by its id and a 64-bit hash of the text.
+
+Copies and skew: equal sets (by size and 128-bit digest) are one class with its first row
+(least id, null last) as its representative, and only representatives are banded. A bucket is never paired with
 itself. Its members are verified against its hub, the member with the most company in all
 its buckets (of a text and its edited copies, the text). Members of one component need no
 more verification; what is left are buckets that still hold several components, mostly of
@@ -20,8 +23,8 @@ All links stay in Spark, and components are found by alternating stars.
 
 Edge cases: a null or empty text and one without words has an empty set and is linked
 with nothing; a text of fewer words than ``shingle`` has one element, the whole sequence;
-rows with a null id are kept and linked with nothing; repeated rows share one verdict; an
-empty table gives an empty result.
+rows with a null id are linked as all others; of repeated rows, and of one id's texts, one
+row a group is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prints
@@ -94,8 +97,8 @@ def _signer(size: int):
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 found.append(bands(signature(s)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "bands"],
+                [batch["doc_id"], batch["_key"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "_key", "n", "digest", "bands"],
             )
 
     return sign
@@ -105,7 +108,7 @@ def _setter(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shingles(t, size).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, pa.binary())], names=["id", "elements"])
 
     return sets
 
@@ -202,16 +205,27 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: a row a row of ``docs``; the component of a null
-    id is null."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = written(
-        texts.mapInArrow(_signer(shingle), "doc_id long, n long, digest binary, bands array<long>"), "signed"
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+
+
+def _key() -> Column:
+    """With ``_id``, what tells apart the texts of one id, and null from the id -1."""
+    return F.xxhash64(F.col("text").cast("binary"), F.col("doc_id").isNull())
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``doc_id, _key, n, row`` (a number), and ``first`` (the first row of its group, null where
+    the set is empty): a row a row of ``docs``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("_id"), _key().alias("_key"), F.col("text").cast("binary").alias("text"))
+    signed = texts.select("doc_id", "_key", "text").mapInArrow(
+        _signer(shingle), "doc_id long, _key long, n long, digest binary, bands array<long>"
     )
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "row")
+    classes = written(signed.where("n > 0").groupBy("n", "digest").agg(F.min(order).alias("least")), "classes")
+    reps = signed.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi")
+    members = reps.select(F.col("row").alias("id"), "n", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(full, "bucket"), "buckets")
     company = shared.groupBy("id").agg(F.sum("size").alias("company"))
@@ -220,9 +234,10 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     star = shared.join(hubs, "bucket").withColumn("to", -F.col("hub.minus"))
     star = star.where((F.col("to") != F.col("id")) & _fits("n", "hub.n", percent))
     pairs = written(star.select(F.col("to").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = shared.select(F.col("id").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.mapInArrow(_setter(shingle), "id long, elements binary"), "sets")
+    places = classes.select(F.col("least.row").alias("id"), F.coalesce("least.doc_id", F.lit(-1)).alias("_id"), F.col("least._key").alias("_key"))
+    places = places.join(shared.select("id").distinct(), "id", "left_semi")
+    sets = texts.select("_id", "_key", "text").join(places, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    sets = written(sets.select("id", "text").mapInArrow(_setter(shingle), "id long, elements binary"), "sets")
     found = written(links(pairs, sets, percent), "links")
     roots = components(found)
     at = shared.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -232,20 +247,31 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     new = written(links(more, sets, percent), "links")
     if not new.isEmpty():
         roots = components(found.unionByName(new))
-    out = signed.select("doc_id", "n", "digest").join(classes, ["n", "digest"], "left")
-    out = out.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    rooted = classes.withColumn("id", F.col("least.row")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    rooted = rooted.join(first, "root").select("n", "digest", "first")
+    return signed.select("doc_id", "_key", "n", "row", "digest").join(rooted, ["n", "digest"], "left").drop("digest")
 
 
 def judge(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """``groups`` and kept: the document is its group's least one, or has no id."""
-    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    found = groups(docs, shingle, percent)
-    found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.withColumn("kept", kept)
+    """``doc_id, n_shingles, component_id`` (the group's least id) and ``kept`` (the row is its
+    group's first, or in none): a row a row of ``docs``."""
+    kept = F.col("first").isNull() | (F.col("row") == F.col("first.row"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _judged(docs, shingle, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")
+    )
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with the columns it came with; repeats of a row go too."""
-    gone = judge(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, with the columns it came with."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _id().alias("_id"), _key().alias("_key"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_key") == F.col("first._key"))
+    lost = _judged(docs, shingle, percent).where("row != first.row").select(_id().alias("_id"), "_key", own.alias("own"))
+    lost = written(lost.distinct(), "lost")
+    out = out.join(lost.where("not own"), ["_id", "_key"], "left_anti")
+    again = lost.where("own").select("_id", "_key")  # the kept row itself repeats
+    if not again.isEmpty():
+        once = out.join(again, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+        out = out.join(again, ["_id", "_key"], "left_anti").unionByName(once)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -177,6 +177,24 @@ def test_minhash_against_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_keep_one_row_a_group(spark):
+    """Repeated rows, null ids and several texts of one id; the pipeline keeps a repeated text."""
+    say = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (1, say("a")), (1, say("a")), (None, say("b")), (None, say("b")), (2, say("c")), (3, say("d")), (3, say("c")), (3, say("e")),
+        (None, say("f")), (4, say("f")), (-1, say("g")), (None, say("g")), (5, ""), (5, ""), (6, say("h")), (7, say("h") + " more"), (7, say("i")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    want = {(1, "a"), (None, "b"), (2, "c"), (3, "d"), (3, "e"), (4, "f"), (-1, "g"), (6, "h"), (7, "i")}
+    kept = minhash_dedup.keep_first(docs)
+    got = sorted((str(r["doc_id"]), r["text"][:1]) for r in kept.collect())
+    assert got == sorted([*((str(i), c) for i, c in want), ("5", ""), ("5", "")])
+    verdicts = minhash_dedup.judge(docs, 5).collect()
+    assert len(verdicts) == len(rows) and sum(r["kept"] for r in verdicts) == len(want) + 2
+    rest = sorted((str(r["doc_id"]), r["text"]) for r in substring_dedup.remove_repeats(kept).collect())
+    assert rest == sorted((str(i), say(c)) for i, c in want)
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(4)
     x = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
