@@ -41,15 +41,15 @@ def _id() -> Column:
 
 def text_key(docs: DataFrame) -> Column:
     """What tells apart texts that share an id: 0 if no id repeats (every shuffled place carries
-    it, and a constant costs nothing there), else 32 bits of the text's hash.
+    it, and a constant costs nothing there), else 64 bits of the text's hash.
 
     The 0 is one that the optimizer neither sees through nor takes for nullable: a literal
     would be folded out of the join keys, and a check for null would be added on one side
     of two; either way the dealt texts would be dealt twice.
     """
     if docs.groupBy(_id()).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return F.coalesce(F.pmod(F.hash("doc_id"), F.lit(1)), F.lit(0))
-    return F.hash(text_of(F.col("text").cast("string")))
+        return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long"))
+    return F.xxhash64(text_of(F.col("text").cast("string")))
 
 
 def keyed(docs: DataFrame, key: Column, *keep) -> DataFrame:
@@ -87,8 +87,8 @@ class Rows:
             self.cols, self.n = [[] for _ in self.schema], 0
 
 
-_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int32()), ("at", pa.int32())])
-_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("_id", pa.int64()), ("_key", pa.int32()), ("at", pa.int32())])
+_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
+_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     texts = keyed(docs, key, F.col("text").cast("binary").alias("text"), *keep).repartition("_id", "_key")
     same = F.md5(text_of("text").cast("binary")).alias("_text")
     anchors = keyed(docs, key, F.col("text").cast("binary").alias("text")).mapInArrow(
-        _anchors, "h long, _id long, _key int, at int"
+        _anchors, "h long, _id long, _key long, at int"
     )
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
@@ -159,7 +159,7 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     # of equal texts one goes on; the others' every window starts elsewhere
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
     windows = texts.join(told, ["_id", "_key"]).mapInArrow(
-        _windows, "h long, g int, _id long, _key int, at int"
+        _windows, "h long, g int, _id long, _key long, at int"
     )
     again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     starts = windows.join(again, ["h", "g"]).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))

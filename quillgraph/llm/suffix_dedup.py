@@ -60,7 +60,7 @@ def _chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return grams[at].view(np.int64), at, lo, hi
 
 
-_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int32()), ("at", pa.int32())])
+_ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(digest)
                 los.append(x)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int32()), pa.array(los, pa.int32())],
+            [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int32())],
             names=["digest", "_id", "_key", "lo"],
         )
 
@@ -269,7 +269,7 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     key = text_key(docs)
     texts = keyed(docs, key, raw, *keep).repartition("_id", "_key")
     same = F.md5(text_of("text").cast("binary")).alias("_text")
-    anchors = keyed(docs, key, raw).mapInArrow(_anchors, "h long, _id long, _key int, at int")
+    anchors = keyed(docs, key, raw).mapInArrow(_anchors, "h long, _id long, _key long, at int")
     twice = anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
     spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(
         F.collect_set(F.when(F.col("times") <= HOT, F.col("at"))).alias("_cold"),
@@ -293,7 +293,7 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
         .where(F.size("runs") > 0)
     )
     runs = buckets.unionByName(_hot_runs(joined)).groupBy("digest").agg(F.first("runs").alias("runs"))
-    places = joined.mapInArrow(_places, "digest binary, _id long, _key int, lo int")
+    places = joined.mapInArrow(_places, "digest binary, _id long, _key long, lo int")
     found = places.join(runs, "digest").groupBy("_id", "_key").agg(
         F.collect_list(F.transform("runs", lambda r: F.struct((r["s"] + F.col("lo")).alias("s"), (r["e"] + F.col("lo")).alias("e")))).alias("_sets")
     )

@@ -289,6 +289,15 @@ def test_removed_text(spark):
     assert got == {1: ("a b", 3), 2: ("c", 1), 3: ("kept  as\nis", 1)} or got[3][0] == "kept  as\nis" and got[1] == ("a b", 3)
 
 
+@pytest.mark.parametrize("kind", [substring_dedup, suffix_dedup])
+def test_texts_of_one_id_whose_32_bit_hashes_are_equal(spark, kind):
+    a, b = (" ".join(f"{i}w{j}" for j in range(60)) for i in (11969, 106634))
+    docs = spark.createDataFrame([(1, a), (1, b), (0, a)], "doc_id long, text string")
+    assert docs.selectExpr("hash(text)").distinct().count() == 1
+    got = sorted((r["doc_id"], r["n_removed"] > 0) for r in kind.digest(docs).collect())
+    assert got == [(0, True), (1, False), (1, True)]
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
