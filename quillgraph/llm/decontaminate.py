@@ -115,7 +115,8 @@ def _keyed(docs: DataFrame, *keep) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, found)``. A row a document: its keys, ``keep`` and n_words. A row a distinct
-    document with a hit: its keys, n_words, n_hit and items (distinct item ids).
+    document with a hit: its keys, n_words, n_hit, items (distinct item ids) and full (a
+    window of WINDOW words is among the hits).
 
     Documents are cut into words once; their fingerprints, about a fifth of their words,
     are written to the shared folder.
@@ -169,8 +170,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, *keep: str) -> tuple[DataFrame,
             F.first("_n").cast("long").alias("n_words"),
             F.collect_set(F.struct("at", "size")).alias("_spans"),
             F.collect_set(F.col("item_id").cast("string")).alias("items"),
+            F.max(F.col("size") == WINDOW).alias("full"),
         )
-        .select(*KEYS, "n_words", _spans(F.array_sort("_spans")).alias("n_hit"), "items")
+        .select(*KEYS, "n_words", _spans(F.array_sort("_spans")).alias("n_hit"), "items", "full")
     )
     return own.select(*KEYS, *keep, F.col("_n").cast("long").alias("n_words")), found
 
@@ -184,7 +186,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, found = hits(docs, benchmark, "doc_id")
     hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(found.drop("n_words"), [*KEYS], "left").select(
+    return rows.join(found.drop("n_words", "full"), [*KEYS], "left").select(
         "doc_id",
         "n_words",
         hit.alias("n_hit"),
@@ -195,9 +197,14 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they came with."""
+    """The documents that leak nothing, with the columns they came with.
+
+    One window of WINDOW words is proof of a leak, whatever its share of the text, so no kept
+    text holds one. Items of fewer words are phrases that texts may share by chance: their
+    hits count by share, as in ``judge``.
+    """
     _, found = hits(docs, benchmark)
-    leaks = found.where(_contaminated(F.col("n_hit"), F.col("n_words"))).select(*KEYS)
+    leaks = found.where(F.col("full") | _contaminated(F.col("n_hit"), F.col("n_words"))).select(*KEYS)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     kept = _keyed(docs, row).join(leaks, [*KEYS], "left_anti")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -97,7 +97,7 @@ FROM v
 """
 
 
-def leaks_sql(docs: str = "documents") -> str:
+def leaks_sql(docs: str = "documents", more: str = "") -> str:
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM {docs}),
 b AS (SELECT item_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM benchmark),
@@ -108,10 +108,10 @@ dw AS (SELECT doc_id, size, i, words[i:i + size - 1] AS win
        FROM (SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS i FROM d, sizes)),
 h AS (SELECT doc_id, item_id, dw.size, i FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM h) GROUP BY doc_id),
-k AS (SELECT doc_id, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM h GROUP BY doc_id)
+k AS (SELECT doc_id, list_sort(list_distinct(list(item_id::VARCHAR))) AS items, max(size) = 13 AS whole FROM h GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
        sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated{more}
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
@@ -186,6 +186,17 @@ FROM q
 """
 
 
+#: For pages whose text is one article of p, h1, b and br: what the wrapper must come to there.
+_OP8 = r"""
+WITH a AS (SELECT page_id, url, CASE WHEN html LIKE '%<article>%' THEN regexp_extract(html, '(?s)<article>(.*)</article>', 1) ELSE coalesce(html, '') END AS x FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(x, '</?(?:p|h1)>', chr(1), 'g'), '<br>', ' ', 'g') AS cut FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(string_split(regexp_replace(cut, '<[^>]*>', '', 'g'), chr(1)),
+      lambda t: trim(regexp_replace(t, '[\s\x0B\x1C-\x1F]+', ' ', 'g'))), lambda t: t != '') AS blocks FROM b),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(array_to_string(blocks, chr(10) || chr(10)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
+
 _OP1 = r"""
 WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
 l0 AS (SELECT rid, conv_id, turn, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM m),
@@ -219,6 +230,7 @@ ORACLES: dict[str, str] = {
     "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",
     "op6_substring_dedup": repeats_sql(),
     "op7_minhash_dedup": near_sql(),
+    "op8_html_extract": _OP8,
     "op9_quality_rules": quality_sql(),
     "op10_decontaminate": leaks_sql(),
 }
@@ -233,7 +245,7 @@ s2 AS MATERIALIZED (SELECT d.* FROM s1 d JOIN ({near_sql("s1", 5)}) v USING (doc
 r3 AS MATERIALIZED ({repeats_sql("s2", kept)}),
 s3 AS MATERIALIZED (SELECT doc_id, text, lang, source, length(text)::BIGINT AS n_chars FROM (
   SELECT doc_id, CASE WHEN n_removed = 0 THEN text ELSE rest END AS text, lang, source FROM s2 JOIN r3 USING (doc_id)) WHERE text != ''),
-s4 AS MATERIALIZED (SELECT d.* FROM s3 d JOIN ({leaks_sql("s3")}) v USING (doc_id) WHERE NOT v.contaminated),
+s4 AS MATERIALIZED (SELECT d.* FROM s3 d JOIN ({leaks_sql("s3", ", coalesce(whole, false) AS whole")}) v USING (doc_id) WHERE NOT (v.contaminated OR v.whole)),
 {mix_sql("s4")}
 SELECT s4.*, m.size, m.source_size, m.target, m.taken FROM s4 JOIN mixed m USING (doc_id) WHERE m.taken > 0
 """
