@@ -256,6 +256,44 @@ def test_html_blocks_and_wrapper(spark):
     assert got[10]["text"] == "" and got[11]["text"] == "x" and got[0]["n_chars"] == len(got[0]["text"])
 
 
+def test_wrapper_decides_inside_articles(spark):
+    """A notice no tag marks, only on the longer pages of its host; edited copies of one story stay
+    whole; a small teaser article does not stand for the page."""
+    say = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    note = "<p>Read our house rules before you reply</p>"
+    page = lambda n, k: f"<article><h1>{say(n, 3)}</h1>" + "".join(f"<p>{say(n * 10 + i, 9)}</p>" for i in range(k)) + f"{note if k > 2 else ''}</article>"
+    rows = [(i, "http://h.x/%d" % i, page(i, 2 + i % 2 * 2)) for i in range(12)] + [(90, "http://h.x/e", ""), (91, "http://h.x/n", None)]
+    copy = [say(500 + i, 9) for i in range(6)]
+    for i in range(6):
+        rows.append((100 + i, "http://c.x/%d" % i, "<article>" + "".join(f"<p>{t}{' edit' if j == i else ''}</p>" for j, t in enumerate(copy)) + "</article>"))
+    rows.append((200, "http://t.x/", f"<div>{say(7, 30)}</div><article><p>teaser</p></article>"))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(docs).collect()}
+    assert all("house rules" not in got[i] and got[i].count("\n\n") == 2 + i % 2 * 2 for i in range(12))
+    assert all(got[100 + i].count("\n\n") == 5 for i in range(6)) and got[90] == got[91] == ""
+    assert got[200].startswith("w7x0") and got[200].endswith("teaser")
+    blocks = html_extract.parse(rows[1][2]).blocks
+    assert "house rules" in html_extract.main_text(blocks, set())  # without its template the text differs
+
+
+def test_html_awkward_pages(spark):
+    long = "<article>" + "<p>word</p>" * 200_000 + "</article>"
+    rows = [(1, "http://a/", "<p>x", "c", "c"), (1, "http://a/", "<p>x", "c", "c"), (None, None, None, None, None), (None, "http://b", "<p>y", "c", "c"), (2, "http://a/", long, "c", "c"), (3, "http://a/", "<p>z", "c", "c")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, row string")
+    got = html_extract.extract(docs)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    rows = sorted((str(r["page_id"]), r["text"][:9], r["n_chars"]) for r in got.collect())
+    assert rows == [("1", "x", 1), ("1", "x", 1), ("2", "word\n\nwor", 200_000 * 6 - 2), ("3", "z", 1), ("None", "", 0), ("None", "y", 1)]
+
+
+@pytest.mark.parametrize(
+    "source, bad",
+    [("share-price", False), ("search-result-notice", False), ("ad", True), ("site-header", True), ("promo-box", True), ("comments_list", True), ("header-story", False), ("headline", False)],
+)
+def test_class_names(source, bad):
+    assert html_extract.main_text(html_extract.parse(f"<div class='{source}'>t</div>").blocks, set()) == ("" if bad else "t")
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
@@ -264,6 +302,7 @@ def test_html_blocks_and_wrapper(spark):
         ("<p>one<li>two<li>three<script>if (a<b) '</p>'</script>", "one\n\ntwo\n\nthree"),
         ("<!-- <p>no</p> --><p title='a>b'>yes</p>", "yes"),
         ("a < b <", "a < b <"),
+        ("<article><header><h1>T</h1><p>by</p></header><p>x</p></article><header><h1>no</h1></header>", "T\n\nx"),
         ("<aside>n</aside><form><p>n</p></form><style>n</style>t", "t"),
     ],
 )
@@ -277,6 +316,33 @@ def test_tree_matching():
     assert pairs == {("#", "#"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
 
 
+def test_tree_matching_is_largest():
+    """Against the plain recurrence on random trees."""
+    rng = random.Random(8)
+
+    def tree(n):
+        p = html_extract.Page()
+        for i in range(1, n):
+            p.labels.append(rng.choice("ab"))
+            p.parents.append(rng.randrange(i))
+        return p
+
+    def largest(a, b, i, j):
+        xs, ys = ([k for k in range(1, len(p.labels)) if p.parents[k] == n] for p, n in ((a, i), (b, j)))
+        row = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for x in range(len(xs)):
+            for y in range(len(ys)):
+                both = row[x][y] + largest(a, b, xs[x], ys[y]) if a.labels[xs[x]] == b.labels[ys[y]] else 0
+                row[x + 1][y + 1] = max(row[x][y + 1], row[x + 1][y], both)
+        return 1 + row[-1][-1]
+
+    for _ in range(60):
+        a, b = tree(rng.randint(1, 12)), tree(rng.randint(1, 12))
+        pairs = html_extract.match_trees(a, b)
+        assert len(pairs) == len(set(pairs)) == largest(a, b, 0, 0)
+        assert all(a.labels[i] == b.labels[j] and (i == 0 or (a.parents[i], b.parents[j]) in pairs) for i, j in pairs)
+
+
 def test_conversations(spark, small):
     out = quote_linking.conversations(spark.read.parquet(f"{small}/conversations.parquet")).where("conv_id = 1").first()
     assert [t["text"] for t in out["turns"]] == ["Hello there my good friend of mine\nsecond line", "fine", "great"]
