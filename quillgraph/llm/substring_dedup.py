@@ -7,14 +7,15 @@
    Spark. Windows counted twice or more are joined back to their places and merged into
    maximal runs of removed words.
 
-Documents are told apart by id and text hash. Of equal texts of at least a window, one row
-each is counted with its number of copies and the others inherit its result: their every
-word goes, as each window starts elsewhere. All counting is map-side combined, all joins
-have one row a key on one side (adaptive execution splits a skewed other side), and no
-group is collected but a document's own places.
-
-Edge cases: a null or empty text has no words; a text of fewer than 35 words keeps all;
-repeated rows are copies of one another; an empty table gives an empty result; texts of
+Documents are told apart by id and, where ids repeat, by 64 bits of the text's hash. Of
+equal texts of at least a window, one stands for all and the others inherit its result:
+their every word goes, as each window starts elsewhere. All counting is map-side combined.
+All joins by content have one row a key on one side; keys of many rows do not meet in a
+task (``skew``). No group is collected but a document's own places.
+
+Edge cases: ``doc_id`` is a number, or a text that casts to one (others are an error under
+ANSI rules); rows without an id are documents; a null or empty text has no words; a text
+of fewer than 35 words keeps all; repeated rows are copies of one another; an empty table gives an empty result; texts of
 any length are hashed in O(n).
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prints
+from .skew import join_by_key
 from .text import text_of
 
 WINDOW, GRAM = 35, 8
@@ -146,8 +148,9 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     anchors = keyed(docs, key, F.col("text").cast("binary").alias("text")).mapInArrow(
         _anchors, "h long, _id long, _key long, at int"
     )
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
+    place = F.concat_ws(":", "_id", "_key", "at")
+    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    spots = join_by_key(anchors, twice, ["h"], "n", place).groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
     copies = (
         keyed(docs, key, same)
         .groupBy("_text")
@@ -155,14 +158,14 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
         .where("_copies > 1")
     )
     ids = keyed(docs, key, same).dropDuplicates(["_id", "_key"])
-    groups = ids.join(copies, "_text").select("_id", "_key", "_rep")
+    groups = join_by_key(ids, copies, ["_text"], "_copies", F.col("_id")).select("_id", "_key", "_rep")
     # of equal texts one goes on; the others' every window starts elsewhere
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
     windows = texts.join(told, ["_id", "_key"]).mapInArrow(
         _windows, "h long, g int, _id long, _key long, at int"
     )
-    again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    starts = windows.join(again, ["h", "g"]).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
+    again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
+    starts = join_by_key(windows, again, ["h", "g"], "n", place).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
     whole = groups.select("_id", "_key", F.lit(True).alias("_whole"))
     found = starts.join(whole, ["_id", "_key"], "full")
     return texts.join(found, ["_id", "_key"], "left")
