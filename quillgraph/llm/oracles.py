@@ -67,7 +67,7 @@ def quality_sql(docs: str = "documents") -> str:
         + "]"
         for lang, words in quality_rules.COMMON_WORDS.items()
     )
-    zeros = [0.0] * quality_rules.WORDS_PER_LANG
+    zeros = [0.0] * (quality_rules.WORDS_PER_LANG + 1)
     known = ", ".join(f"'{x}'" for x in quality_rules.COMMON_WORDS)
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
     return f"""
@@ -84,15 +84,17 @@ m AS (SELECT w.doc_id, known, len(words) AS n_words, length(array_to_string(word
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, length(t) AS size,
       [length(t) - length(rare) - (length(t) - length(replace(t, ' ', ''))), length(t) - length(replace(t, ' ', '')), {", ".join(counts)},
        length(rare) - ({" + ".join(counts)})]::DOUBLE[] AS chars,
-      CASE {common} ELSE {zeros!r}::DOUBLE[] END AS common
+      CASE {common} END AS listed
       FROM w LEFT JOIN hit USING (doc_id)),
-ref AS (SELECT known, {sums("chars", quality_rules.N_CLASSES)} AS ref_chars, {sums("common", quality_rules.WORDS_PER_LANG)} AS ref_common FROM m GROUP BY known),
-v AS (SELECT m.*, {_distance("chars", "ref_chars")} AS dc, {_distance("common", "ref_common")} AS dw,
-      n_words < {r.min_words} OR 100 * n_repeat_words > {r.repeat_percent} * n_words AS base_failed FROM m JOIN ref USING (known))
+mm AS (SELECT *, CASE WHEN listed IS NULL THEN {zeros!r}::DOUBLE[] ELSE list_append(listed, greatest(n_words - list_sum(listed), 0.0)) END AS common,
+       n_words < {r.min_words} OR 100 * n_repeat_words > {r.repeat_percent} * n_words AS base_failed FROM m),
+ref AS (SELECT known, {sums("chars", quality_rules.N_CLASSES)} AS ref_chars, {sums("common", quality_rules.WORDS_PER_LANG + 1)} AS ref_common
+        FROM mm WHERE NOT base_failed GROUP BY known),
+v AS (SELECT mm.*, {_distance("chars", "ref_chars")} AS dc, {_distance("common", "ref_common")} AS dw FROM mm LEFT JOIN ref USING (known))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT (base_failed OR coalesce(size >= {r.min_chars} AND dc > {r.max_char_distance}, false)
-            OR coalesce(n_words >= {r.min_common} AND dw > {r.max_word_distance}, false)) AS kept
+            OR coalesce(n_words >= {r.min_common} AND dw > {r.max_word_distance} + {r.word_noise} / sqrt(n_words), false)) AS kept
 FROM v
 """
 
@@ -131,6 +133,22 @@ SELECT {columns} FROM k
 """
 
 
+_OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+edge AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM rep),
+part AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS p FROM edge),
+span AS (SELECT r, p, min(i) AS s, max(i) + 200 AS e FROM part GROUP BY r, p),
+gap AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS last FROM span),
+cut AS (SELECT r, count(*) AS n, sum(e - s) AS gone, string_agg(substr(h, 2 * last + 1, 2 * (s - last)), '' ORDER BY s) AS head, max(e) AS e
+        FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+
 def near_sql(docs: str = "documents", k: int = 2) -> str:
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({lowered()}, '{BLANK_WORD}') AS words FROM {docs}),
@@ -228,6 +246,7 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": _op2(),
     "op3_warc": _OP3,
     "op4_mixing": f"WITH {mix_sql()} SELECT * FROM mixed",
+    "op5_suffix_dedup": _OP5,
     "op6_substring_dedup": repeats_sql(),
     "op7_minhash_dedup": near_sql(),
     "op8_html_extract": _OP8,

@@ -10,21 +10,25 @@ suffixes at anchors are sorted:
    that chose it. Equal contexts of one task are sent once, with their number.
    ``repartitionByRange`` samples splitters and deals the contexts by the bytes that lead
    their suffix (from the anchor on), so buckets are in suffix order.
-3. Buckets are sorted by multikey sort, word by word, once by what follows the anchor and
+3. Buckets are sorted by multikey quicksort, once by what follows the anchor and
    once by what precedes it, with the common prefixes of neighbours. The strings that
    start t bytes before their anchors are equal where both orders agree for 200 - t and t
    bytes: runs of neighbours whose common prefix does not fall below that.
-4. Across bucket boundaries nothing can match: contexts led by the same GRAM bytes go to one
-   bucket, and strings of different anchors differ.
+4. Contexts led by the same GRAM bytes go to one bucket, and strings of different anchors
+   differ, so nothing is left to compare across these buckets.
 
-Anchors that occur more than ``HOT`` times would make one bucket grow with the corpus. Their
-distinct contexts' strings are hashed (two bases, 96 bits) and counted in Spark instead,
-which splits a group of any size.
+Anchors that occur more than ``WIDE`` times would make one bucket grow with the corpus. Of
+their distinct contexts every string is a suffix of its own: sampled splitters deal the
+suffixes by their bytes and then by their place, so equal strings may fill any number of
+buckets. Each is sorted (Spark's external sort), neighbours are compared, and last and
+first strings of adjacent buckets are compared across the boundary.
 
 Equal texts of at least 200 bytes go whole, and one of them stands for all in steps 2 to 4.
-Edge cases: a null or empty text has no bytes; a shorter one keeps all; repeated rows are
-copies of one another; overlapping repeats inside one text count; an empty table gives an
-empty result.
+Joins by content have one row a key on one side; keys of many rows do not meet in a task
+(``skew``). Edge cases: ``doc_id`` is a number, or a text that casts to one (others are an
+error under ANSI rules); rows without an id are documents; a null or empty text has no
+bytes; a shorter one keeps all; repeated rows are copies of one another; overlapping
+repeats inside one text count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +41,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import prints
+from .scratch import written
+from .skew import join_by_key
 from .substring_dedup import Rows, keyed, text_key
 from .text import text_of
 
-WINDOW, GRAM, HOT = 200, 32, 50_000
+WINDOW, GRAM, WIDE = 200, 32, 50_000
 SPAN = WINDOW - GRAM + 1
 #: Contexts sorted at once, and bytes of contexts gathered before they are sent on.
 BUCKET, FLUSH = 40_000, 24 << 20
@@ -124,8 +131,8 @@ def _contexts(column: str):
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys, digests, los = [], [], [], []
-        for i, key, text, cold, hot in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_cold", "_hot"))):
-            for _, x, _, _, digest in _contexts_of(text, (cold or []) + (hot or [])):
+        for i, key, text, narrow, wide in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_narrow", "_wide"))):
+            for _, x, _, _, digest in _contexts_of(text, (narrow or []) + (wide or [])):
                 ids.append(i)
                 keys.append(key)
                 digests.append(digest)
@@ -136,25 +143,33 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Segments of no more rows are sorted by all their remaining words at once.
+SMALL = 256
+
+
 def multikey_order(rows: np.ndarray) -> np.ndarray:
-    """Order of the rows of a byte matrix: word by word, only rows that still tie go on."""
+    """Order of the rows of a byte matrix by multikey quicksort over 8-byte words: a segment is
+    parted around a pivot of its current word, and only the middle part goes to the next."""
     m, width = rows.shape
     words = np.zeros((m, -(-width // 8) * 8), np.uint8)
     words[:, :width] = rows
     words = words.view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = np.concatenate([[False], words[order[1:], 0] == words[order[:-1], 0]])
-    for c in range(1, words.shape[1]):
-        part = tied.copy()
-        part[:-1] |= tied[1:]
-        at = np.flatnonzero(part)
-        if not len(at):
-            break
-        group = np.cumsum(~tied[at])
-        new = np.lexsort((words[order[at], c], group))
-        order[at] = order[at][new]
-        same = words[order[at], c]
-        tied[at] &= np.concatenate([[False], same[1:] == same[:-1]])
+    order, todo = np.arange(m), [(0, m, 0)]
+    while todo:
+        lo, hi, c = todo.pop()
+        if hi - lo < 2 or c == words.shape[1]:
+            continue
+        part = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = part[np.lexsort(words[part, c:].T[::-1])]
+            continue
+        key = words[part, c]
+        pivot = np.sort(key[:: max(1, len(key) // 31)])[len(key[:: max(1, len(key) // 31)]) // 2]
+        less, same = key < pivot, key == pivot
+        order[lo:hi] = np.concatenate([part[less], part[same], part[~(less | same)]])
+        a = lo + int(less.sum())
+        b = a + int(same.sum())
+        todo += [(lo, a, c), (a, b, c + 1), (b, hi, c)]
     return order
 
 
@@ -219,7 +234,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = len(r[2]) - WINDOW + 1
             runs.append(_runs(found[i, d[i] - np.arange(starts)]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.binary()), pa.array(runs, _RUNS)], names=["digest", "runs"]
+            [pa.array([r[0] for r in rows], pa.binary()), pa.array(runs, _RUNS), pa.array(n)], names=["digest", "runs", "n"]
         )
 
     for batch in batches:
@@ -236,30 +251,62 @@ _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _RUNS_SQL = "array<struct<s:int,e:int>>"
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each context, its strings: what leads the suffix at each start."""
     for batch in batches:
         for digest, context, n in zip(*(batch[c].to_pylist() for c in ("digest", "context", "n"))):
-            tokens = byte_tokens(context)
-            h = prints.rolling(tokens, WINDOW)
-            g = prints.mixed(prints.rolling(tokens, WINDOW, 1)) >> np.uint64(32)
-            m = len(h)
+            m = len(context) - WINDOW + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digest] * m, pa.binary()), pa.array(h.view(np.int64)), pa.array(g.astype(np.int64)),
+                [pa.array([context[i : i + WINDOW] for i in range(m)], pa.binary()), pa.array([digest] * m, pa.binary()),
                  pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int64))],
-                names=["digest", "h", "g", "s", "n"],
+                names=["suffix", "digest", "s", "n"],
             )
 
 
-def _hot_runs(joined: DataFrame) -> DataFrame:
-    """``digest, runs`` of the contexts of hot anchors, by counting their strings."""
+_FOUND = pa.schema([("digest", pa.binary()), ("s", pa.int32()), ("again", pa.bool_()), ("edge", pa.int32()), ("suffix", pa.binary())])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes in order, those equal to a neighbour or of a repeated context, and the first
+    (edge 0) and last (edge 1) of the bucket with their bytes."""
+    held, first = None, True  # the last row so far, and whether it is known to repeat
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+    for batch in batches:
+        out = []
+        for suffix, digest, s, n in zip(*(batch[c].to_pylist() for c in ("suffix", "digest", "s", "n"))):
+            again = n > 1
+            if held is not None:
+                same = held[0] == suffix
+                again |= same
+                if same or held[3] or first:
+                    out.append((held[1], held[2], same or held[3], 0 if first else None, held[0] if first else None))
+                first = False
+            held = (suffix, digest, s, again)
+        if out:
+            yield batch_of(out)
+    if held is not None:
+        yield batch_of([(held[1], held[2], held[3], 0 if first else 1, held[0])])
+
+
+def _wide_runs(joined: DataFrame, n: int) -> DataFrame:
+    """``digest, runs, n`` of the contexts of wide anchors, from their sorted suffixes."""
     schema = "digest binary, lead binary, context binary, d int, n long"
-    distinct = joined.where(F.size("_hot") > 0).mapInArrow(_contexts("_hot"), schema)
-    distinct = distinct.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
-    strings = distinct.mapInArrow(_strings, "digest binary, h long, g long, s int, n long")
-    again = strings.groupBy("h", "g").agg(F.sum("n").alias("times")).where("times > 1").select("h", "g")
-    return strings.join(again, ["h", "g"]).groupBy("digest").agg(
-        F.collect_set(F.struct("s", (F.col("s") + 1).alias("e"))).alias("runs")
-    )
+    distinct = joined.where(F.size("_wide") > 0).mapInArrow(_contexts("_wide"), schema)
+    distinct = written(distinct.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n")), "contexts")
+    order = ["suffix", "digest", "s"]
+    rows = distinct.mapInArrow(_suffixes, "suffix binary, digest binary, s int, n long")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.mapInArrow(_neighbours, "digest binary, s int, again boolean, edge int, suffix binary")
+    rows = written(rows.withColumn("bucket", F.spark_partition_id()), "suffixes")
+    at = W.orderBy("bucket", "edge")  # two rows a bucket at most
+    near = F.col("suffix").eqNullSafe(F.lag("suffix").over(at)) | F.col("suffix").eqNullSafe(F.lead("suffix").over(at))
+    edges = rows.where("edge is not null").withColumn("again", F.col("again") | near)
+    found = rows.where("again and edge is null").unionByName(edges.where("again"))
+    runs = found.groupBy("digest").agg(F.collect_set(F.struct("s", (F.col("s") + 1).alias("e"))).alias("runs"))
+    return runs.join(distinct.select("digest", "n"), "digest")
 
 
 def repeated(docs: DataFrame, *keep) -> DataFrame:
@@ -270,31 +317,32 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     texts = keyed(docs, key, raw, *keep).repartition("_id", "_key")
     same = F.md5(text_of("text").cast("binary")).alias("_text")
     anchors = keyed(docs, key, raw).mapInArrow(_anchors, "h long, _id long, _key long, at int")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
-    spots = anchors.join(twice, "h").groupBy("_id", "_key").agg(
-        F.collect_set(F.when(F.col("times") <= HOT, F.col("at"))).alias("_cold"),
-        F.collect_set(F.when(F.col("times") > HOT, F.col("at"))).alias("_hot"),
+    twice = written(anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "twice")
+    spots = join_by_key(anchors, twice, ["h"], "times", F.concat_ws(":", "_id", "_key", "at")).groupBy("_id", "_key").agg(
+        F.collect_set(F.when(F.col("times") <= WIDE, F.col("at"))).alias("_narrow"),
+        F.collect_set(F.when(F.col("times") > WIDE, F.col("at"))).alias("_wide"),
     )
     copies = (
         keyed(docs, key, same).groupBy("_text")
         .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep")).where("_copies > 1")
     )
-    groups = keyed(docs, key, same).dropDuplicates(["_id", "_key"]).join(copies, "_text")
-    groups = groups.select("_id", "_key", "_rep")
+    ids = keyed(docs, key, same).dropDuplicates(["_id", "_key"])
+    groups = join_by_key(ids, copies, ["_text"], "_copies", F.col("_id")).select("_id", "_key", "_rep")
     told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
     joined = texts.join(told, ["_id", "_key"])
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = (
-        joined.mapInArrow(_contexts("_cold"), "digest binary, lead binary, context binary, d int, n long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = (
+        joined.mapInArrow(_contexts("_narrow"), "digest binary, lead binary, context binary, d int, n long")
         .repartitionByRange(n, "lead")
         .sortWithinPartitions("lead")
-        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}")
+        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}, n long")
         .where(F.size("runs") > 0)
     )
-    runs = buckets.unionByName(_hot_runs(joined)).groupBy("digest").agg(F.first("runs").alias("runs"))
+    if not twice.where(F.col("times") > WIDE).isEmpty():
+        runs = runs.unionByName(_wide_runs(joined, n))
+    runs = runs.groupBy("digest").agg(F.first("runs").alias("runs"), F.sum("n").alias("n"))
     places = joined.mapInArrow(_places, "digest binary, _id long, _key long, lo int")
-    found = places.join(runs, "digest").groupBy("_id", "_key").agg(
+    found = join_by_key(places, runs, ["digest"], "n", F.concat_ws(":", "_id", "_key", "lo")).groupBy("_id", "_key").agg(
         F.collect_list(F.transform("runs", lambda r: F.struct((r["s"] + F.col("lo")).alias("s"), (r["e"] + F.col("lo")).alias("e")))).alias("_sets")
     )
     found = found.select("_id", "_key", F.flatten("_sets").alias("_runs"))

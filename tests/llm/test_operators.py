@@ -85,7 +85,7 @@ def test_awkward_documents(spark):
     assert {"taken", "target"} <= set(mixing.mixed_documents(docs).columns)
 
 
-def test_suffix_dedup_brute(spark):
+def test_suffix_dedup_brute(spark, monkeypatch):
     rng = random.Random(5)
     say = lambda n: "".join(rng.choice("abcé \n") for _ in range(n))
     a, b = say(450), say(199)
@@ -104,13 +104,47 @@ def test_suffix_dedup_brute(spark):
                 gone[i : i + 200] = True
         runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1))
         want[n] = (len(t), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest())
-    for hot in (suffix_dedup.HOT, 1):
-        keep, suffix_dedup.HOT = suffix_dedup.HOT, hot
+    for wide in (suffix_dedup.WIDE, 1):
+        monkeypatch.setattr(suffix_dedup, "WIDE", wide)
         got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(docs).collect()}
-        suffix_dedup.HOT = keep
         assert got == want
 
 
+def test_neighbours_meet_across_buckets(spark):
+    """The buckets' edges, however the suffixes are dealt."""
+    rng = random.Random(6)
+    made = ["".join(rng.choice("ab") for _ in range(3)) for _ in range(40)]
+    made = sorted((t.encode(), b"d%d" % i, i, 1) for i, t in enumerate(made))
+    want = {r[2] for r in made if sum(r[0] == x[0] for x in made) > 1}
+    for cut in ((), (1,), (5, 6, 7), (3, 20, 21, 39)):
+        found, edges = set(), []
+        for lo, hi in zip((0, *cut), (*cut, 40)):
+            import pyarrow as pa
+
+            rows = pa.RecordBatch.from_pylist([dict(zip(("suffix", "digest", "s", "n"), r)) for r in made[lo:hi]])
+            for b in suffix_dedup._neighbours(iter([rows.slice(0, 2), rows.slice(2)])):
+                for r in b.to_pylist():
+                    found |= {r["s"]} if r["again"] else set()
+                    edges += [r] if r["edge"] is not None else []
+        for x, y in zip(edges, edges[1:]):
+            found |= {x["s"], y["s"]} if x["suffix"] == y["suffix"] else set()
+        assert found == want
+
+
+def test_keys_of_many_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from quillgraph.llm import skew
+
+    rows = spark.createDataFrame([(i % 7, str(i % 3), i) for i in range(200)] + [(None, "x", 1)], "h long, g string, at long")
+    by = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("at").alias("top")).where("h > 1")
+    want = sorted(map(tuple, rows.join(by, ["h", "g"]).select("h", "g", "at", "n", "top").collect()))
+    for most, least in ((20_000, 1_000), (3, 5), (0, 0), (100, 0)):
+        monkeypatch.setattr(skew, "HOT_KEYS", most)
+        monkeypatch.setattr(skew, "HOT_ROWS", least)
+        for keys in (["h", "g"], ["g", "h"]):
+            assert sorted(map(tuple, skew.join_by_key(rows, by, keys, "n", F.col("at")).collect())) == want
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 99, (300, 20)).astype(np.uint8)
