@@ -17,8 +17,8 @@ more verification; what is left are buckets that still hold several components,
 texts that share a passage. Their members (``open``) are compared by an exact prefix join,
 which loses no pair at the threshold: elements are ordered rarest first by a sketch of
 ``SKETCH`` counters over all open sets (any order is right, a good one is fast), pairs must
-share an element of both prefixes, pass the length and positional filters, and lie in
-different components, whose largest is never paired with itself. They too are verified.
+share an element of both prefixes, be of the same or neighbouring class of sizes (which
+blocks the join), pass the length and positional filters, and lie in different components, whose largest is never paired with itself. They too are verified.
 All links stay in Spark, and components are found by alternating stars.
 
 Edge cases: a null or empty text and one without words has an empty set and is linked
@@ -29,6 +29,7 @@ row a group is kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from . import prints
 from .components import components
 from .scratch import written
+from .skew import join_by_key
 
 ROWS, BANDS, SKETCH = 4, 32, 1 << 19
 COORDS = ROWS * BANDS
@@ -192,7 +194,10 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_root = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
     top = by_root.groupBy("h").agg(F.max(F.struct("k", "root"))["root"].alias("top"), F.count("*").alias("roots"))
     rows = rows.join(top.where("roots > 1").drop("roots"), "h")
-    x = rows.where("root != top").select("h", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")])
+    # sets that can reach the threshold are in the same class of sizes or in the next
+    rows = rows.withColumn("class", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int"))
+    near = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class_x")
+    x = rows.where("root != top").select("h", near, *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")])
     both = F.col("n") + F.col("n_x")
     reach = 1 + F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) - 1
     likely = (
@@ -201,7 +206,7 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & _fits("n", "n_x", percent)
         & (reach * (100 + percent) >= both * percent)
     )
-    pairs = rows.join(x, (rows["h"] == x["h"]) & likely)
+    pairs = rows.join(x, (rows["h"] == x["h"]) & (rows["class"] == x["class_x"]) & likely)
     return pairs.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
@@ -223,7 +228,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     )
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "row")
-    classes = written(signed.where("n > 0").groupBy("n", "digest").agg(F.min(order).alias("least")), "classes")
+    classes = written(signed.where("n > 0").groupBy("n", "digest").agg(F.min(order).alias("least"), F.count("*").alias("rows")), "classes")
     reps = signed.join(classes.select(F.col("least.row").alias("row")), "row", "left_semi")
     members = reps.select(F.col("row").alias("id"), "n", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -249,8 +254,11 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         roots = components(found.unionByName(new))
     rooted = classes.withColumn("id", F.col("least.row")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    rooted = rooted.join(first, "root").select("n", "digest", "first")
-    return signed.select("doc_id", "_key", "n", "row", "digest").join(rooted, ["n", "digest"], "left").drop("digest")
+    rooted = rooted.join(first, "root").select("digest", "n", "first", "rows")
+    own = signed.select("doc_id", "_key", "n", "row", "digest")
+    some = join_by_key(own.where("n > 0"), rooted, ["digest", "n"], "rows", F.col("row"))
+    none = own.where("n = 0").withColumn("first", F.lit(None).cast(rooted.schema["first"].dataType))
+    return some.drop("rows", "digest").unionByName(none.drop("digest"))
 
 
 def judge(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
