@@ -14,35 +14,34 @@ def lowered(text: str = "text") -> str:
 
 
 def _op2() -> str:
-    vocabulary = sorted({t for _, x in license_scan.TEMPLATES for t in x.split(" ")})
-    rows = []
-    for label, text in license_scan.TEMPLATES:
-        own = sorted(set(text.split(" ")))
-        rows.append(f"('{label}', {own!r}, {license_scan.need_of(len(own))})")
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    rows = [f"({x['t']}, '{x['label']}', {lists(x['own'])}, {lists(x['must'])}, {lists(x['bars'])}::VARCHAR[], {x['need']}, {x['span']})" for x in license_scan.templates()]
     phrases = ", ".join(
         f"('{label}', {text.split(' ')!r})" for label, text in license_scan.PHRASES.items()
     )
     return f"""
-WITH d AS (SELECT doc_id, {lowered()} AS low FROM documents),
-w AS (SELECT doc_id, low, regexp_extract_all(low, '{PLAIN_WORD}') AS words FROM d),
-template(label, own, need) AS (VALUES {", ".join(rows)}),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lowered()}, '{PLAIN_WORD}') AS words FROM documents),
+template(t, label, own, must, bars, need, span) AS (VALUES {", ".join(rows)}),
 phrase(label, parts) AS (VALUES {phrases}),
-spot AS (SELECT doc_id, words, unnest(generate_series(0, len(words) - 1)) AS i FROM w),
-place AS (SELECT doc_id, i, label FROM spot JOIN phrase ON words[i + 1:i + len(parts)] = parts),
-base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
-         list_distinct(list(label)) AS labels FROM place GROUP BY doc_id),
-line AS (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d),
-block AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(line, '{PLAIN_WORD}'),
-          lambda x: list_contains({vocabulary!r}, x))) AS held FROM line),
-match AS (SELECT doc_id, label, len(list_intersect(own, held)) / len(own) AS share
-          FROM block JOIN template ON len(held) >= need AND len(list_intersect(own, held)) >= need),
-best AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM match GROUP BY doc_id)
+spot AS (SELECT r, words, unnest(generate_series(0, len(words) - 1)) AS i FROM w),
+place AS (SELECT r, i, label FROM spot JOIN phrase ON words[i + 1:i + len(parts)] = parts),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list_distinct(list(label)) AS labels FROM place GROUP BY r),
+token AS (SELECT t, unnest(own) AS token FROM template),
+near AS (SELECT r, t FROM (SELECT r, unnest(list_distinct(words)) AS token FROM w) JOIN token USING (token) GROUP BY r, t
+         HAVING count(*) >= (SELECT need FROM template x WHERE x.t = token.t)),
+told AS (SELECT t, token, true AS own FROM token UNION ALL SELECT t, unnest(bars), false FROM template),
+held AS (SELECT n.r, n.t, i, token, own FROM near n JOIN (SELECT r, i, words[i + 1] AS token FROM spot) USING (r) JOIN told USING (t, token)),
+block AS (SELECT a.r, a.t, a.i, list(DISTINCT b.token) AS got FROM (SELECT DISTINCT r, t, i FROM held WHERE own) a JOIN template USING (t)
+          JOIN held b ON a.r = b.r AND a.t = b.t AND b.i >= a.i AND b.i < a.i + span GROUP BY a.r, a.t, a.i),
+match AS (SELECT r, label, len(got) / len(own) AS share FROM block JOIN template USING (t) WHERE len(got) >= need AND list_has_all(got, must) AND NOT list_has_any(got, bars)),
+best AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS share FROM match GROUP BY r)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
-FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
+FROM w LEFT JOIN base USING (r) LEFT JOIN best USING (r)
 """
 
 

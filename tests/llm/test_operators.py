@@ -377,6 +377,18 @@ def test_tree_matching_is_largest():
         assert all(a.labels[i] == b.labels[j] and (i == 0 or (a.parents[i], b.parents[j]) in pairs) for i, j in pairs)
 
 
+def test_licenses_over_line_breaks_and_apart(spark):
+    texts = {
+        1: "x\nLicensed under the Apache License,\nVersion 2.0", 2: "This work is licensed under the GNU General Public License, version 3.",
+        3: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies",
+        4: "Licensed under CC BY-NC 4.0.", 5: "all that is mine is reserved by rights", 6: "license " * 50_000 + "all rights reserved", 7: None,
+    }
+    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "doc_id long, text string, row string")
+    got = {r["doc_id"]: (r["base_labels"], r["labels"]) for r in license_scan.scan(docs).collect()}
+    assert got == {1: ("apache", "apache,apache-2.0"), 2: ("gpl", "gpl,gpl-3.0"), 3: ("", "mit"), 4: ("cc-by", "cc-by,cc-by-nc-4.0"), 5: ("", ""), 6: ("", "reserved"), 7: ("", "")}
+
+
 def test_conversations(spark, small):
     out = quote_linking.conversations(spark.read.parquet(f"{small}/conversations.parquet")).where("conv_id = 1").first()
     assert [t["text"] for t in out["turns"]] == ["Hello there my good friend of mine\nsecond line", "fine", "great"]
