@@ -256,9 +256,10 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     rooted = rooted.join(first, "root").select("digest", "n", "first", "rows")
     own = signed.select("doc_id", "_key", "n", "row", "digest")
-    some = join_by_key(own.where("n > 0"), rooted, ["digest", "n"], "rows", F.col("row"))
-    none = own.where("n = 0").withColumn("first", F.lit(None).cast(rooted.schema["first"].dataType))
-    return some.drop("rows", "digest").unionByName(none.drop("digest"))
+    own = own.withColumn("size", F.col("n"))
+    some = join_by_key(own.where("n > 0"), rooted, ["digest", "n"], "rows", F.col("row"), ["first"])
+    none = own.where("n = 0").drop("digest", "n").withColumn("first", F.lit(None).cast(rooted.schema["first"].dataType))
+    return some.unionByName(none).withColumnRenamed("size", "n")
 
 
 def judge(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:

@@ -5,27 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are broadcast at most, and rows from which a key is one of them.
+#: Keys that are salted at most, and rows of a key from which it is; a salt gets as many.
 HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
-def join_by_key(rows: DataFrame, by: DataFrame, keys: list[str], weight: str, spread: Column) -> DataFrame:
-    """``rows`` joined (inner) with ``by``, which has one row a key and the key's number of rows
-    in ``weight``.
+def salts_of(weight: Column) -> Column:
+    """Into how many parts a key of so many rows is dealt."""
+    return (F.floor(weight / HOT_ROWS) + 1).cast("int")
 
-    The ``HOT_KEYS`` heaviest keys are broadcast and their rows dealt by ``spread`` instead of
-    their key, so no task gets more rows of one key than the next heaviest has, one in
-    ``HOT_KEYS`` of all at most. All other keys are shuffled: nothing is left out.
+
+def join_by_key(rows: DataFrame, by: DataFrame, keys: list[str], weight: str, spread: Column, values: list[str] | None = None) -> DataFrame:
+    """``rows`` without ``keys``, joined (inner) with the columns ``values`` of ``by``, which has one
+    row a key and the key's number of rows in ``weight``. ``by`` is read twice: write it first.
+
+    Rows of the ``HOT_KEYS`` heaviest keys (a broadcast of a key and a number each) are dealt
+    by key and salt, and ``by`` has a copy of such a key for each salt: one more row for
+    ``HOT_ROWS`` of ``rows``. So no task gets more rows of one key than the next heaviest has, one
+    in ``HOT_KEYS`` of all at most. Nothing is left out, and what is shuffled is no wider.
     """
-    values = [c for c in by.columns if c not in keys]
+    first, rest = keys[0], keys[1:]
+    kind = dict(rows.dtypes)[first]
     hot = by.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
-    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
-    first = keys[0]
-    far = F.xxhash64(spread) if dict(rows.dtypes)[first] == "bigint" else F.md5(F.concat(F.lit("far"), spread.cast("string"))).cast(dict(rows.dtypes)[first])
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), F.col(first)).otherwise(far))
-    rest = by.select(F.col(first).alias("_deal"), *[F.col(c).alias(f"_{c}_") for c in keys[1:]], F.struct(*values).alias("_cold"))
-    same = marked["_deal"] == rest["_deal"]
-    for c in keys[1:]:
-        same = same & (marked[c] == rest[f"_{c}_"])
-    both = marked.join(rest, same, "left").withColumn("_got", F.coalesce("_hot", "_cold")).where("_got is not null")
-    return both.select(*[F.col(c) for c in rows.columns], *[F.col(f"_got.{c}").alias(c) for c in values])
+    hot = F.broadcast(hot.select(*keys, salts_of(F.col(weight)).alias("_salts")))
+
+    def dealt(salt: Column) -> Column:
+        own = F.col(first).cast("binary") if kind != "bigint" else F.col(first)
+        both = F.xxhash64(own, salt) if kind == "bigint" else F.md5(F.concat(own, salt.cast("string").cast("binary"))).cast(kind)
+        return F.when(F.col("_salts").isNull(), F.col(first)).otherwise(both).alias("_deal")
+
+    others = [c for c in rows.columns if c not in keys]
+    values = [c for c in by.columns if c not in keys] if values is None else values
+    left = rows.join(hot, keys, "left").select(dealt(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")), *rest, *others)
+    right = by.select(*keys, *{weight: 0, **dict.fromkeys(values)}).join(hot, keys, "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+    right = right.select(dealt(F.col("_salt")), *rest, *values)
+    return left.join(right, ["_deal", *rest]).select(*others, *values)

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prints
-from .skew import join_by_key
+from .scratch import written
+from .skew import join_by_key, salts_of
 from .text import text_of
 
 WINDOW, GRAM = 35, 8
@@ -90,7 +91,7 @@ class Rows:
 
 
 _ANCHORS = pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
-_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
+_WINDOWS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("salts", pa.int32()), ("_id", pa.int64()), ("_key", pa.int64()), ("at", pa.int32())])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,25 +107,27 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows.rest()
 
 
-def chosen_by(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose own anchor is one of those at ``at``, ascending."""
+def chosen_by(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose own anchor is one of those at the ascending ``at``, ascending,
+    and which of ``at`` that is."""
     places, lo, hi = prints.anchors(prints.mixed(prints.rolling(words, GRAM)), SPAN)
     take = np.isin(places, at)
-    mark = np.zeros(len(words) - WINDOW + 2, np.int32)
-    mark[lo[take]] += 1
-    mark[hi[take] + 1] -= 1
-    return np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+    lo, size = lo[take], hi[take] - lo[take] + 1
+    starts = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return starts, np.repeat(np.searchsorted(at, places[take]), size)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = Rows(_WINDOWS)
     for batch in batches:
-        for i, key, text, at in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_at"))):
+        for i, key, text, spots in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_at"))):
             words = prints.word_hashes(find_words(text))
-            starts = chosen_by(words, np.asarray(at, np.int64))
+            spots.sort(key=lambda s: s["at"])
+            at, salts = (np.fromiter((s[c] for s in spots), np.int64, len(spots)) for c in ("at", "salts"))
+            starts, of = chosen_by(words, at)
             h = prints.rolling(words, WINDOW)[starts].view(np.int64)
-            g = (prints.mixed(prints.rolling(words, WINDOW, 1)[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield from rows.add(len(starts), h, g, i, key, starts.astype(np.int32))
+            g = (prints.mixed(prints.rolling(words, WINDOW, 1)[starts]) >> np.uint64(32)).astype(np.int64)
+            yield from rows.add(len(starts), h, g, salts[of].astype(np.int32), i, key, starts.astype(np.int32))
     yield from rows.rest()
 
 
@@ -136,6 +139,14 @@ def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
+def copies_of(docs: DataFrame, key: Column) -> DataFrame:
+    """``_id, _key, _rep`` of every text that others equal; ``_rep`` is the least id of them."""
+    same = keyed(docs, key, F.md5(text_of("text").cast("binary")).alias("_text"))
+    copies = same.groupBy("_text").agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep"))
+    copies = written(copies.where("_copies > 1"), "copies")
+    return written(join_by_key(same.dropDuplicates(["_id", "_key"]), copies, ["_text"], "_copies", F.col("_id"), ["_rep"]), "groups")
+
+
 def repeated(docs: DataFrame, *keep) -> DataFrame:
     """``_id, _key, text``, the columns ``keep``, ``_whole`` (equal texts exist) and ``_starts``
     (of repeated windows): a row a row of ``docs``.
@@ -144,28 +155,26 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     """
     key = text_key(docs)
     texts = keyed(docs, key, F.col("text").cast("binary").alias("text"), *keep).repartition("_id", "_key")
-    same = F.md5(text_of("text").cast("binary")).alias("_text")
     anchors = keyed(docs, key, F.col("text").cast("binary").alias("text")).mapInArrow(
         _anchors, "h long, _id long, _key long, at int"
     )
     place = F.concat_ws(":", "_id", "_key", "at")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    spots = join_by_key(anchors, twice, ["h"], "n", place).groupBy("_id", "_key").agg(F.collect_set("at").alias("_at"))
-    copies = (
-        keyed(docs, key, same)
-        .groupBy("_text")
-        .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep"))
-        .where("_copies > 1")
-    )
-    ids = keyed(docs, key, same).dropDuplicates(["_id", "_key"])
-    groups = join_by_key(ids, copies, ["_text"], "_copies", F.col("_id")).select("_id", "_key", "_rep")
+    place = F.concat_ws(":", "_id", "_key", "at")
+    twice = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    spots = join_by_key(anchors, twice, ["h"], "n", place, ["n"])
+    spots = spots.groupBy("_id", "_key").agg(F.collect_set(F.struct("at", salts_of(F.col("n")).alias("salts"))).alias("_at"))
+    groups = copies_of(docs, key)
     # of equal texts one goes on; the others' every window starts elsewhere
-    told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
+    told = written(spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti"), "told")
     windows = texts.join(told, ["_id", "_key"]).mapInArrow(
-        _windows, "h long, g int, _id long, _key long, at int"
+        _windows, "h long, g long, salts int, _id long, _key long, at int"
     )
-    again = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
-    starts = join_by_key(windows, again, ["h", "g"], "n", place).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
+    # a window has as many rows as its anchor at most, and is dealt into as many parts
+    salted = lambda salt: (F.col("g") + F.shiftleft(salt.cast("long"), 32)).alias("gs")  # noqa: E731  g has 32 bits
+    again = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("salts").alias("salts")).where("n > 1")
+    again = again.select("h", "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("h", salted(F.col("salt")))
+    spread = windows.select("h", salted(F.pmod(F.xxhash64("_id", "_key", "at"), F.col("salts"))), "_id", "_key", "at")
+    starts = spread.join(again, ["h", "gs"]).groupBy("_id", "_key").agg(F.collect_set("at").alias("_starts"))
     whole = groups.select("_id", "_key", F.lit(True).alias("_whole"))
     found = starts.join(whole, ["_id", "_key"], "full")
     return texts.join(found, ["_id", "_key"], "left")

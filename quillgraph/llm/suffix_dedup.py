@@ -45,9 +45,8 @@ from pyspark.sql import Window as W
 
 from . import prints
 from .scratch import written
-from .skew import join_by_key
-from .substring_dedup import Rows, keyed, text_key
-from .text import text_of
+from .skew import join_by_key, salts_of
+from .substring_dedup import Rows, copies_of, keyed, text_key
 
 WINDOW, GRAM, WIDE = 200, 32, 50_000
 SPAN = WINDOW - GRAM + 1
@@ -81,13 +80,14 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows.rest()
 
 
-def _contexts_of(text: bytes, marked: list[int]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """``(at, lo, hi, context, digest)`` of the anchors at ``marked``."""
+def _contexts_of(text: bytes, marked: list[dict]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """``(at, lo, salts, context, digest)`` of the anchors ``marked`` (at, salts)."""
+    salts = {m["at"]: m["salts"] for m in marked}
     _, at, lo, hi = _chosen(text)
-    take = np.isin(at, np.asarray(marked, np.int64))
+    take = np.isin(at, np.fromiter(salts, np.int64, len(salts)))
     for a, x, y in zip(at[take].tolist(), lo[take].tolist(), hi[take].tolist()):
         context = text[x : y + WINDOW]
-        yield a, x, y, context, xxhash.xxh3_128_digest(context + (a - x).to_bytes(2, "big"))
+        yield a, x, salts[a], context, xxhash.xxh3_128_digest(context + (a - x).to_bytes(2, "big"))
 
 
 def _contexts(column: str):
@@ -104,19 +104,20 @@ def _contexts(column: str):
                     pa.array([r[0] for _, r in rows], pa.binary()),
                     pa.array([r[1] for _, r in rows], pa.int32()),
                     pa.array([r[2] for _, r in rows], pa.int64()),
+                    pa.array([r[3] for _, r in rows], pa.int32()),
                 ],
-                names=["digest", "lead", "context", "d", "n"],
+                names=["digest", "lead", "context", "d", "n", "salts"],
             )
 
         for batch in batches:
             for text, marked in zip(batch["text"].to_pylist(), batch[column].to_pylist()):
                 if not marked:
                     continue
-                for a, x, _, context, digest in _contexts_of(text, marked):
+                for a, x, salts, context, digest in _contexts_of(text, marked):
                     if digest in held:
                         held[digest][2] += 1
                     else:
-                        held[digest] = [context, a - x, 1]
+                        held[digest] = [context, a - x, 1, salts]
                         size += len(context) + 200
                 if size >= FLUSH:
                     yield flush()
@@ -130,16 +131,17 @@ def _contexts(column: str):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, digests, los = [], [], [], []
+        ids, keys, digests, parts, los = [], [], [], [], []
         for i, key, text, narrow, wide in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_narrow", "_wide"))):
-            for _, x, _, _, digest in _contexts_of(text, (narrow or []) + (wide or [])):
+            for _, x, salts, _, digest in _contexts_of(text, (narrow or []) + (wide or [])):
                 ids.append(i)
                 keys.append(key)
                 digests.append(digest)
+                parts.append(prints.word_hashes([b"%d:%d:%d" % (i, key, x)])[0] % np.uint64(salts) if salts > 1 else 0)
                 los.append(x)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int32())],
-            names=["digest", "_id", "_key", "lo"],
+            [pa.array(digests, pa.binary()), pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int32())],
+            names=["digest", "salt", "_id", "_key", "lo"],
         )
 
 
@@ -228,17 +230,18 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         d = np.array([r[3] for r in rows], np.int64)
         n = np.array([r[4] for r in rows], np.int64)
+        salts = pa.array([r[5] for r in rows], pa.int32())
         found = repeats_among([r[2] for r in rows], d, n)
         runs = []
         for i, r in enumerate(rows):  # string starts, from the context's first byte
             starts = len(r[2]) - WINDOW + 1
             runs.append(_runs(found[i, d[i] - np.arange(starts)]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.binary()), pa.array(runs, _RUNS), pa.array(n)], names=["digest", "runs", "n"]
+            [pa.array([r[0] for r in rows], pa.binary()), pa.array(runs, _RUNS), salts], names=["digest", "runs", "salts"]
         )
 
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("digest", "lead", "context", "d", "n"))):
+        for row in zip(*(batch[c].to_pylist() for c in ("digest", "lead", "context", "d", "n", "salts"))):
             if len(rows) >= BUCKET and row[1] != rows[-1][1]:
                 yield solve(rows)
                 rows = []
@@ -291,11 +294,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([(held[1], held[2], held[3], 0 if first else 1, held[0])])
 
 
+_CONTEXTS = "digest binary, lead binary, context binary, d int, n long, salts int"
+
+
 def _wide_runs(joined: DataFrame, n: int) -> DataFrame:
-    """``digest, runs, n`` of the contexts of wide anchors, from their sorted suffixes."""
-    schema = "digest binary, lead binary, context binary, d int, n long"
-    distinct = joined.where(F.size("_wide") > 0).mapInArrow(_contexts("_wide"), schema)
-    distinct = written(distinct.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n")), "contexts")
+    """``digest, runs, salts`` of the contexts of wide anchors, from their sorted suffixes."""
+    distinct = joined.where(F.size("_wide") > 0).mapInArrow(_contexts("_wide"), _CONTEXTS)
+    distinct = distinct.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n"), F.first("salts").alias("salts"))
+    distinct = written(distinct, "contexts")
     order = ["suffix", "digest", "s"]
     rows = distinct.mapInArrow(_suffixes, "suffix binary, digest binary, s int, n long")
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -306,7 +312,7 @@ def _wide_runs(joined: DataFrame, n: int) -> DataFrame:
     edges = rows.where("edge is not null").withColumn("again", F.col("again") | near)
     found = rows.where("again and edge is null").unionByName(edges.where("again"))
     runs = found.groupBy("digest").agg(F.collect_set(F.struct("s", (F.col("s") + 1).alias("e"))).alias("runs"))
-    return runs.join(distinct.select("digest", "n"), "digest")
+    return runs.join(distinct.select("digest", "salts"), "digest")
 
 
 def repeated(docs: DataFrame, *keep) -> DataFrame:
@@ -315,34 +321,32 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
     raw = F.col("text").cast("binary").alias("text")
     key = text_key(docs)
     texts = keyed(docs, key, raw, *keep).repartition("_id", "_key")
-    same = F.md5(text_of("text").cast("binary")).alias("_text")
     anchors = keyed(docs, key, raw).mapInArrow(_anchors, "h long, _id long, _key long, at int")
     twice = written(anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "twice")
-    spots = join_by_key(anchors, twice, ["h"], "times", F.concat_ws(":", "_id", "_key", "at")).groupBy("_id", "_key").agg(
-        F.collect_set(F.when(F.col("times") <= WIDE, F.col("at"))).alias("_narrow"),
-        F.collect_set(F.when(F.col("times") > WIDE, F.col("at"))).alias("_wide"),
+    spots = join_by_key(anchors, twice, ["h"], "times", F.concat_ws(":", "_id", "_key", "at"), ["times"])
+    spot = F.struct("at", salts_of(F.col("times")).alias("salts"))
+    spots = spots.groupBy("_id", "_key").agg(
+        F.collect_set(F.when(F.col("times") <= WIDE, spot)).alias("_narrow"),
+        F.collect_set(F.when(F.col("times") > WIDE, spot)).alias("_wide"),
     )
-    copies = (
-        keyed(docs, key, same).groupBy("_text")
-        .agg(F.count("*").alias("_copies"), F.min("_id").alias("_rep")).where("_copies > 1")
-    )
-    ids = keyed(docs, key, same).dropDuplicates(["_id", "_key"])
-    groups = join_by_key(ids, copies, ["_text"], "_copies", F.col("_id")).select("_id", "_key", "_rep")
-    told = spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti")
+    groups = copies_of(docs, key)
+    told = written(spots.join(groups.where("_rep != _id"), ["_id", "_key"], "left_anti"), "told")
     joined = texts.join(told, ["_id", "_key"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (
-        joined.mapInArrow(_contexts("_narrow"), "digest binary, lead binary, context binary, d int, n long")
+        joined.mapInArrow(_contexts("_narrow"), _CONTEXTS)
         .repartitionByRange(n, "lead")
         .sortWithinPartitions("lead")
-        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}, n long")
+        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}, salts int")
         .where(F.size("runs") > 0)
     )
     if not twice.where(F.col("times") > WIDE).isEmpty():
         runs = runs.unionByName(_wide_runs(joined, n))
-    runs = runs.groupBy("digest").agg(F.first("runs").alias("runs"), F.sum("n").alias("n"))
-    places = joined.mapInArrow(_places, "digest binary, _id long, _key long, lo int")
-    found = join_by_key(places, runs, ["digest"], "n", F.concat_ws(":", "_id", "_key", "lo")).groupBy("_id", "_key").agg(
+    # a context has as many places as its anchor at most, and is dealt into as many parts
+    runs = runs.groupBy("digest").agg(F.first("runs").alias("runs"), F.first("salts").alias("salts"))
+    runs = runs.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "runs")
+    places = joined.mapInArrow(_places, "digest binary, salt int, _id long, _key long, lo int")
+    found = places.join(runs, ["digest", "salt"]).groupBy("_id", "_key").agg(
         F.collect_list(F.transform("runs", lambda r: F.struct((r["s"] + F.col("lo")).alias("s"), (r["e"] + F.col("lo")).alias("e")))).alias("_sets")
     )
     found = found.select("_id", "_key", F.flatten("_sets").alias("_runs"))
