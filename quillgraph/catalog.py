@@ -6,6 +6,8 @@ The tables stand for the engine's own: documents are passages and files, ``order
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .functions.ids import family_of, form_of, node_kind_column
 from .functions.tokens import raw_tokens
 from .operators import ask, changes, dense, evaluate, families, graph, lexical, resolve, traverse
 from .schema import EDGE_KEY
+from .shared import dealt
 from .shipping import ship
 from .sources import tree
 from .streaming import refresh
@@ -40,7 +43,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return dealt(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
 
 
 # ---- lexical retrieval
@@ -371,19 +374,22 @@ def verify_graph(spark, d):
 # ---- traversal: customers call suppliers, nations declare both
 
 _CALLS = """
-call AS (SELECT DISTINCT 'sym:c::C' || o_custkey AS source, 'sym:s::S' || l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 49
-         UNION SELECT DISTINCT 'sym:s::S' || l_suppkey, 'sym:p::P' || l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 49),
+call AS (SELECT 'sym:o::O' || o_orderkey AS source, 'sym:c::C' || o_custkey AS target FROM orders
+         UNION SELECT 'sym:c::C' || c_custkey, 'sym:n::N' || c_nationkey FROM customer
+         UNION SELECT 'sym:s::S' || s_suppkey, 'sym:n::N' || s_nationkey FROM supplier
+         UNION SELECT 'sym:n::N' || n_nationkey, 'sym:r::R' || n_regionkey FROM nation
+         UNION SELECT 'sym:o::O' || l_orderkey, 'sym:p::P' || l_partkey FROM lineitem),
 node AS (SELECT DISTINCT source AS id FROM call UNION SELECT target FROM call)"""
 
 
 def _calls(spark, d) -> traverse.Snapshot:
-    line = table(spark, d, "lineitem").where("l_quantity >= 49")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    a = line.where("l_returnflag = 'R'").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.concat(F.lit("sym:c::C"), "o_custkey").alias("source"), F.concat(F.lit("sym:s::S"), "l_suppkey").alias("target")
-    )
-    b = line.where("l_returnflag = 'A'").select(F.concat(F.lit("sym:s::S"), "l_suppkey").alias("source"), F.concat(F.lit("sym:p::P"), "l_partkey").alias("target"))
-    e = a.union(b).distinct().select("source", "target", F.lit("Calls").alias("kind"), F.lit("").alias("context"), F.regexp_extract("source", "^sym:(.)", 1).alias("file"))
+    """Every order calls its customer and parts, customers and suppliers their nation, that its region."""
+    ends = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"),
+            ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey")]
+    name = lambda f, k: F.concat(F.lit(f"sym:{f}::{f.upper()}"), k)
+    parts = [table(spark, d, t).select(name(f, a).alias("source"), name(g, b).alias("target")) for t, f, a, g, b in ends]
+    e = reduce(DataFrame.unionByName, parts).distinct()
+    e = e.select("source", "target", F.lit("Calls").alias("kind"), F.lit("").alias("context"), F.regexp_extract("source", "^sym:(.)", 1).alias("file"))
     ids = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
     n = ids.select(
         "id", F.lit("Symbol").alias("kind"), F.regexp_extract("id", "::(.*)$", 1).alias("label"), F.lit("").alias("body"),
@@ -393,10 +399,11 @@ def _calls(spark, d) -> traverse.Snapshot:
 
 
 def _parts(spark, snap):
-    return snap.nodes.where("id like 'sym:p::P%' and cast(substring(id, 9) as long) % 10 = 0").select(F.col("id").alias("root"))
+    """What may be changed: all but orders, which nothing calls."""
+    return snap.nodes.where("id not like 'sym:o::%'").select(F.col("id").alias("root"))
 
 
-_ROOTS = "root AS (SELECT id AS root FROM node WHERE id LIKE 'sym:p::P%' AND substring(id, 9)::BIGINT % 10 = 0)"
+_ROOTS = "root AS (SELECT id AS root FROM node WHERE id NOT LIKE 'sym:o::%')"
 _UP = f"""WITH RECURSIVE {_CALLS}, {_ROOTS},
 bfs(root, id, depth) AS (SELECT root, root, 0 FROM root UNION SELECT b.root, c.source, b.depth + 1 FROM bfs b JOIN call c ON c.target = b.id WHERE b.depth < 3),
 hit AS (SELECT root, id, min(depth)::BIGINT AS depth FROM bfs WHERE id != root GROUP BY root, id)"""
@@ -424,14 +431,14 @@ def impact_risk(spark, d):
     return traverse.impact(s, _parts(spark, s))
 
 
-@query(f"""WITH RECURSIVE {_CALLS}, start AS (SELECT id AS a FROM node WHERE id LIKE 'sym:c::C%' AND substring(id, 9)::BIGINT % 7 = 0),
-bfs(a, id, depth) AS (SELECT a, a, 0 FROM start UNION SELECT b.a, c.target, b.depth + 1 FROM bfs b JOIN call c ON c.source = b.id WHERE b.depth < 6)
-SELECT a AS "from", id AS "to", min(depth)::BIGINT AS hops FROM bfs WHERE id LIKE 'sym:p::P%' GROUP BY a, id""")
+@query(f"""WITH {_CALLS} SELECT a.source AS "from", c.target AS "to", a.source || ' > ' || b.source || ' > ' || c.source || ' > ' || c.target AS path
+FROM call a JOIN call b ON b.source = a.target JOIN call c ON c.source = b.target WHERE a.source LIKE 'sym:o::%'""")
 def trace_path(spark, d):
+    """Every order's chain of calls down to its region."""
     s = _calls(spark, d)
-    start = s.nodes.where("id like 'sym:c::C%' and cast(substring(id, 9) as long) % 7 = 0").select(F.col("id").alias("root"))
-    reach = traverse.walk(s, start, 6, up=False).where("id like 'sym:p::P%'").select(F.col("root").alias("from"), F.col("id").alias("to"))
-    return traverse.trace(s, reach, 6).select("from", "to", (F.size("path") - 1).cast("long").alias("hops"))
+    start = s.nodes.where("id like 'sym:o::%'").select(F.col("id").alias("root"))
+    reach = traverse.walk(s, start, 6, up=False).where("id like 'sym:r::%'").select(F.col("root").alias("from"), F.col("id").alias("to"))
+    return traverse.trace(s, reach, 6).select("from", "to", F.array_join(F.transform("path", lambda p: p["id"]), " > ").alias("path"))
 
 
 _IMPORTS = """
@@ -453,17 +460,17 @@ def importers(spark, d):
     return traverse.importers(s, n.select(F.col("id").alias("root")))
 
 
-@query(f"""WITH {_CALLS}, seat AS (SELECT id AS via FROM node WHERE id LIKE 'sym:s::S%' AND substring(id, 9)::BIGINT % 9 = 0),
+@query(f"""WITH {_CALLS}, seat AS (SELECT target AS q, source AS via, row_number() OVER (PARTITION BY target ORDER BY source) AS pos FROM call WHERE source LIKE 'sym:n::%'),
 hop AS (SELECT source AS via, target AS id FROM call UNION SELECT target, source FROM call)
-SELECT 'q' AS q, id, min(via) AS via FROM hop JOIN seat USING (via) WHERE id NOT IN (SELECT via FROM seat) GROUP BY id""")
+SELECT q, id, arg_min(via, pos) AS via FROM hop JOIN seat USING (via) WHERE NOT EXISTS (SELECT 1 FROM seat s WHERE s.q = seat.q AND s.via = hop.id) GROUP BY q, id""")
 def expansion_one_hop(spark, d):
+    """A question a region, seated with its nations."""
     from pyspark.sql import Window as W
 
     s = _calls(spark, d)
     e = s.edges.withColumn("kind", F.lit("References"))
-    seats = s.nodes.where("id like 'sym:s::S%' and cast(substring(id, 9) as long) % 9 = 0").select(
-        F.lit("q").alias("q"), "id", (F.row_number().over(W.orderBy("id")) - 1).alias("pos"), F.lit(1.0).alias("score")
-    )
+    order = F.row_number().over(W.partitionBy("target").orderBy("source")) - 1
+    seats = s.edges.where("source like 'sym:n::%'").select(F.col("target").alias("q"), F.col("source").alias("id"), order.alias("pos"), F.lit(1.0).alias("score"))
     none = spark.createDataFrame([], "q string, id string, place int, score double")
     return ask.candidates(s.nodes, e, seats, none).select("q", "id", "via")
 
@@ -471,17 +478,17 @@ def expansion_one_hop(spark, d):
 # ---- changes
 
 _SPANS = """
-hunk AS (SELECT DISTINCT 'f' || (l_suppkey % 20) AS file, l_linenumber * 40 AS start, l_linenumber * 40 + l_quantity::INT AS "end" FROM lineitem WHERE l_orderkey % 100 = 1),
-sym AS (SELECT 'sym:f' || (p_partkey % 20) || '::P' || p_partkey AS id, 'f' || (p_partkey % 20) AS file, (p_partkey % 300)::INT + 1 AS first, (p_partkey % 300)::INT + 1 + p_size AS last FROM part)"""
+hunk AS (SELECT DISTINCT 'f' || (l_partkey % 200) AS file, l_linenumber * 40 AS start, l_linenumber * 40 + l_quantity::INT AS "end" FROM lineitem),
+sym AS (SELECT 'sym:f' || (p_partkey % 200) || '::P' || p_partkey AS id, 'f' || (p_partkey % 200) AS file, (p_partkey % 300)::INT + 1 AS first, (p_partkey % 300)::INT + 1 + p_size AS last FROM part)"""
 
 
 def _spans(spark, d):
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    h = line.where("l_orderkey % 100 = 1").select(
-        F.concat(F.lit("f"), (F.col("l_suppkey") % 20).cast("string")).alias("file"), (F.col("l_linenumber") * 40).alias("start"),
+    h = line.select(
+        F.concat(F.lit("f"), (F.col("l_partkey") % 200).cast("string")).alias("file"), (F.col("l_linenumber") * 40).alias("start"),
         (F.col("l_linenumber") * 40 + F.round("l_quantity").cast("int")).alias("end"), F.lit(False).alias("comment_only"),
     ).distinct()
-    f = F.concat(F.lit("f"), (F.col("p_partkey") % 20).cast("string"))
+    f = F.concat(F.lit("f"), (F.col("p_partkey") % 200).cast("string"))
     at = (F.col("p_partkey") % 300).cast("int") + 1
     n = part.select(F.concat(F.lit("sym:"), f, F.lit("::P"), "p_partkey").alias("id"), F.lit("Symbol").alias("kind"), f.alias("file"), at.alias("line"), (at + F.col("p_size")).alias("end"))
     return n, h
@@ -569,12 +576,12 @@ def recall(spark, d):
 
 
 @query("""
-WITH c AS (SELECT doc_id::VARCHAR AS q, source AS kind, [(doc_id + 1)::VARCHAR, source] AS expect FROM documents WHERE doc_id % 10 = 0), a AS (SELECT q, unnest(expect) AS anchor FROM c),
+WITH c AS (SELECT doc_id::VARCHAR AS q, source AS kind, [(doc_id + 1)::VARCHAR, source] AS expect FROM documents), a AS (SELECT q, unnest(expect) AS anchor FROM c),
 h AS (SELECT q, anchor, anchor IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en') AS hit FROM a), s AS (SELECT q, bool_or(hit) AS hit, count(*) AS n, count(*) FILTER (WHERE hit) AS r FROM h GROUP BY q)
 SELECT kind, count(*)::BIGINT AS cases, count(*) FILTER (WHERE hit)::BIGINT AS hits, sum(n)::BIGINT AS anchors, sum(r)::BIGINT AS reached FROM c JOIN s USING (q) GROUP BY kind""")
 def bench_summary(spark, d):
     docs = table(spark, d, "documents")
-    cases = docs.where("doc_id % 10 = 0").select(
+    cases = docs.select(
         F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("q"), F.col("source").alias("kind"),
         F.array((F.col("doc_id") + 1).cast("string"), "source").alias("expect"),
     )

@@ -19,44 +19,44 @@ NUMBERED = rf"^({FAMILY})-[0-9]{{1,4}}$"
 WIDEST = 50
 
 _ID = rf"(?:[A-Z]+-M[0-9]{{2}}(?:/T[0-9]{{1,4}})?|{FAMILY}-[0-9]{{1,4}})"
-_FIND = re.compile(rf"(?<![A-Za-z0-9-])({_ID})(?![A-Za-z0-9-])")
-_RANGE = re.compile(rf"(?<![A-Za-z0-9-])({FAMILY})-([0-9]{{1,4}})\s*(?:…|\.\.|—|–)\s*(?:({FAMILY})-)?([0-9]{{1,4}})(?![A-Za-z0-9-])")
-_SLASH = re.compile(rf"(?<![A-Za-z0-9-])({FAMILY})-([0-9]{{1,4}})((?:/[0-9]{{1,4}})+)(?![A-Za-z0-9-])")
+_SCAN = re.compile(
+    rf"(?<![A-Za-z0-9-])(?:(?P<alone>[A-Z]+-M[0-9]{{2}}(?:/T[0-9]{{1,4}})?)|(?P<family>{FAMILY})-(?P<first>[0-9]{{1,4}})"
+    rf"(?:(?P<list>(?:/[0-9]{{1,4}})+)|\s*(?:…|\.\.|—|–)\s*(?P<end>(?:{FAMILY}-)?(?P<last>[0-9]{{1,4}})))?)(?![A-Za-z0-9-])"
+)
+_MORE = re.compile(r"/[0-9]")
+
+
+def _spelt(m: re.Match) -> list[str]:
+    """The identifiers that one find stands for."""
+    if m["alone"]:
+        return [m["alone"]]
+    one, family, first = f"{m['family']}-{m['first']}", m["family"], m["first"]
+    if m["list"]:
+        return [f"{family}-{n}" for n in (first + m["list"]).split("/")]
+    if not m["last"]:
+        return [one]
+    lo, hi = int(first), int(m["last"])
+    if lo <= hi <= lo + WIDEST:
+        return [f"{family}-{n:0{len(first)}d}" for n in range(lo, hi + 1)]
+    return [one]  # too wide or downwards: no range, and its end is found on its own
 
 
 def find_ids(text: str | None) -> list[tuple[str, int]]:
     """``(id, offset)`` of every identifier, ascending by offset and id, without repeats.
 
-    Ranges ascend, stay in one family and span at most ``WIDEST``; else their first id
-    stands alone. Numbers keep the width of the first.
+    One scan. A range takes its first id's family and the width of its first number, and
+    spans at most ``WIDEST``; a list takes its numbers as they are written.
     """
-    if not text:
-        return []
     found: set[tuple[int, str]] = set()
-    covered: list[tuple[int, int]] = []
-    for m in _RANGE.finditer(text):
-        family, first, other, last = m.groups()
-        if other not in (None, family):
-            continue
-        lo, hi = int(first), int(last)
-        numbers = range(lo, hi + 1) if lo <= hi <= lo + WIDEST else [lo]
-        found.update((m.start(), f"{family}-{n:0{len(first)}d}") for n in numbers)
-        covered.append(m.span())
-    for m in _SLASH.finditer(text):
-        if any(a <= m.start() < b for a, b in covered):
-            continue
-        family, first, rest = m.groups()
-        for n in [first, *rest.strip("/").split("/")]:
-            found.add((m.start(), f"{family}-{int(n):0{len(first)}d}"))
-        covered.append(m.span())
-    covered.sort()
-    at = 0
-    for m in _FIND.finditer(text):
-        while at < len(covered) and covered[at][1] <= m.start():
-            at += 1
-        if at < len(covered) and covered[at][0] <= m.start():
-            continue
-        found.add((m.start(), m[1]))
+    pos, text = 0, text or ""
+    while (m := _SCAN.search(text, pos)) is not None:
+        ids, pos = _spelt(m), m.end()
+        found.update((m.start(), i) for i in ids)
+        if m["last"] and m["end"] != m["last"]:
+            if _MORE.match(text, pos):  # the end of a range may open a list
+                pos = m.start("end")
+            elif len(ids) == 1 and ids[0] != m["end"]:
+                found.add((m.start("end"), m["end"]))
     return [(i, start) for start, i in sorted(found)]
 
 

@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -94,22 +96,67 @@ def batches(rows: DataFrame, most_chars: int) -> DataFrame:
     return rows.withColumn("batch", F.pmod(F.xxhash64("id", "row_no"), F.lit(n)).cast("int"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+#: Questions compared with each batch of vectors at once.
+BLOCK = 1024
+
+
+def _nearest(asked: dict[int, tuple[list[str], np.ndarray]], k: int):
+    """For each batch of vectors, the ``k`` nearest ids of each question, by one product of matrices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch["embedding"]
+            size = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+            ids = np.asarray(batch["id"].to_pylist(), object)
+            for width, (qs, questions) in asked.items():
+                at = np.flatnonzero(size == width)
+                if not len(at):
+                    continue
+                v = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), width)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                scores = v @ questions.T
+                out: list[list] = [[], [], []]
+                for j, q in enumerate(qs):
+                    best: dict[str, float] = {}
+                    least = -2.0
+                    for i in np.argsort(-scores[:, j], kind="stable").tolist():
+                        if len(best) >= k and scores[i, j] < least - 1e-9:  # what ties with the last goes on
+                            break
+                        if ids[at[i]] not in best:
+                            best[ids[at[i]]] = least = float(scores[i, j])
+                    for c, x in zip(out, ([q] * len(best), list(best), list(best.values()))):
+                        c += x
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["q", "id", "score"])
+
+    return run
 
 
 def search(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     """``q, id, score, rank`` for ``questions (q, embedding)``: each node at its best row, ties by
     id; rows of another width are passed over.
 
-    The questions are a stated query set and are broadcast against blocks of all vectors.
+    The questions are a stated query set. They come to the driver and go to the tasks in
+    blocks of ``BLOCK``; each block meets every batch of vectors, which hands on ``k`` ids a
+    question, or more where they tie.
     """
-    asked = questions.select("q", F.col("embedding").alias("asked"))
-    both = vectors.crossJoin(F.broadcast(asked)).where(F.size("embedding") == F.size("asked"))
-    best = both.groupBy("q", "id").agg(F.max(cosine(F.col("embedding"), F.col("asked"))).alias("score"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
+    n = questions.count()
+    parts = max(1, -(-n // BLOCK))
+    found = None
+    for p in range(parts):
+        block = questions if parts == 1 else questions.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
+        asked: dict[int, tuple[list, list]] = {}
+        for r in block.select(F.col("q").cast("string").alias("q"), "embedding").collect():
+            qs, rows = asked.setdefault(len(r["embedding"]), ([], []))
+            qs.append(r["q"])
+            rows.append(r["embedding"])
+        ready = {}
+        for width, (qs, rows) in asked.items():
+            m = np.asarray(rows, np.float64)
+            ready[width] = qs, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        part = vectors.select(F.col("id").cast("string").alias("id"), "embedding").mapInArrow(_nearest(ready, k), "q string, id string, score double")
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("q", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import written
+
 # The least hits a run must reach, by retrievers, and its largest 90th percentile.
 FLOORS = {"dense": (40, 18), "dense-small": (40, 9), "lexical": (39, 7)}
 CODE_FLOOR, P90_CEILING = 12, 250
@@ -39,13 +41,24 @@ def tokens_of(text: Column) -> Column:
 def at_index(df: DataFrame, value: str, index: Column, *by: str) -> DataFrame:
     """The ``value`` at the 0-based ``index`` (of the count ``n``) in ascending order, a row a group.
 
-    The sorted place is found without one global window: values are counted first, and only
-    their running counts are ordered, a row a distinct value.
+    Values are counted, range-partitioned and summed by range; ranges before one make its
+    offset, and running counts are inside a range. So no task gets more of a group, or of
+    a table without groups, than a range of its distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    counts = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_upto", F.sum("_c").over(w.orderBy(value)))
-    hit = counts.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(counts.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()), "counts")
+    sums = counts.groupBy(*by, "_range").agg(F.sum("_c").alias("_sum"))
+    w = W.partitionBy(*by)  # a row a range
+    sums = sums.withColumn("n", F.sum("_sum").over(w)).withColumn("_before", F.sum("_sum").over(w.orderBy("_range")) - F.col("_sum"))
+    inside = W.partitionBy(*by, "_range").orderBy(value)
+    sums = sums.select(F.col("_range").alias("_of"), "n", "_before", *[F.col(c).alias(f"_by_{c}") for c in by])
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rows = counts.join(sums, same).select(*by, value, "_c", "n", "_before", "_range")
+    rows = rows.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    hit = rows.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index))
     return hit.select(*by, value, "n")
 
 

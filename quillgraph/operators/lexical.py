@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.tokens import query_tokens, tokens
+from ..shared import written
 
 K1, B, PAIR = 1.2, 0.75, 0.25
+#: Keys of questions that a plan spells out at most.
+LITERAL = 1000
 ADMISSION = 0.761
 
 
@@ -24,20 +27,39 @@ class Index:
     postings: DataFrame  # gram, key, id, tf
     lengths: DataFrame  # id, len
     corpus: DataFrame  # n, avg_len
-    occurrences: DataFrame | None = None  # gram, key, id; None once the postings are kept
+    tokens: DataFrame | None = None  # id, toks; None once the postings are kept
 
     def persist(self) -> Index:
         """Keep a snapshot's tables for many questions."""
         return Index(self.postings.persist(), self.lengths.persist(), self.corpus.persist())
 
     def matching(self, keys: DataFrame) -> DataFrame:
-        """The postings of the questions' keys. Of an index that is not kept, occurrences are
-        joined with the keys before they are counted, so the rest is never shuffled."""
+        """The postings of the questions' keys. Of an index that is not kept, and for ``LITERAL`` keys
+        or fewer, each document's tokens are sifted by the keys where they stand, so that no
+        other occurrence makes a row; more keys are joined."""
         wanted = keys.select("gram", "key").distinct()
-        if self.occurrences is None:
+        few = wanted.limit(LITERAL + 1).collect() if self.tokens is not None else None
+        if few is None or len(few) > LITERAL:
             return self.postings.join(wanted, ["gram", "key"], "left_semi")
-        hit = self.occurrences.join(wanted, ["gram", "key"], "left_semi")
-        return hit.groupBy("gram", "key", "id").agg(F.count("*").cast("int").alias("tf"))
+        terms = [r["key"] for r in few if r["gram"] == "term"]
+        pairs = [r["key"] for r in few if r["gram"] == "pair"]
+        own = F.filter("toks", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+        spots = F.sequence(F.lit(1), F.size("toks") - 1)
+        opens = F.filter(spots, lambda i: F.element_at("toks", i).isin([p.split(" ")[0] for p in pairs]))
+        both = F.transform(opens, lambda i: F.concat_ws(" ", F.element_at("toks", i), F.element_at("toks", i + 1)))
+        near = F.when((F.size("toks") > 1) & F.lit(bool(pairs)), F.filter(both, lambda p: p.isin(pairs or [""])))
+        hit = self.tokens.select("id", _counted(own, "term", F.coalesce(near, F.array().cast("array<string>"))).alias("_keys"))
+        return hit.select("id", F.inline("_keys")).select("gram", "key", "id", "tf")
+
+
+def _counted(terms: Column, kind: str, pairs: Column) -> Column:
+    """Structs (gram, key, tf) of a document's own terms and pairs: counted before they make rows."""
+
+    def of(keys: Column, gram: str) -> Column:
+        once = F.array_distinct(keys)
+        return F.transform(once, lambda k: F.struct(F.lit(gram).alias("gram"), k.alias("key"), F.size(F.filter(keys, lambda x: x == k)).alias("tf")))
+
+    return F.concat(of(terms, kind), of(pairs, "pair"))
 
 
 def indexed_body(kind: Column, body: Column) -> Column:
@@ -52,7 +74,7 @@ def passage(nodes: DataFrame) -> Column:
 def build(texts: DataFrame, stemmed: bool = True) -> Index:
     """The index of ``texts (id, text)``. A document's tokens are laid out once and exploded
     twice, as terms and as pairs of neighbours (after short ones are dropped)."""
-    toks = texts.select("id", tokens(F.col("text"), stemmed).alias("toks"))
+    toks = written(texts.select("id", tokens(F.col("text"), stemmed).alias("toks")), "tokens")
     n = F.size("toks")
     pairs = F.zip_with(
         F.slice("toks", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("toks", F.lit(2), F.greatest(n - 1, F.lit(0))),
@@ -65,7 +87,7 @@ def build(texts: DataFrame, stemmed: bool = True) -> Index:
     corpus = lengths.agg(
         F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len")
     )
-    return Index(postings.agg(F.count("*").cast("int").alias("tf")), lengths, corpus, spots)
+    return Index(postings.agg(F.count("*").cast("int").alias("tf")), lengths, corpus, toks)
 
 
 def of_nodes(nodes: DataFrame, stemmed: bool = True) -> tuple[Index, Index]:

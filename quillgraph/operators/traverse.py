@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..schema import edge_rank
 from ..shared import written
 
-#: Aliases, members and re-export chains are followed this far at most, which cycles end before.
-LONGEST = 50
+#: Rounds of a fixpoint after which what was seen is written as one table again.
+COMPACT = 8
 NAME = r"^sym:((?:(?!::).)*)::(.+)$"
 
 
@@ -47,14 +47,19 @@ def walked(edges: DataFrame) -> DataFrame:
 
 
 def _fixpoint(start: DataFrame, grow, key: list[str]) -> DataFrame:
-    """``start`` and all that ``grow(frontier)`` adds, each ``key`` at its first round (``hop``)."""
-    seen = frontier = written(start.withColumn("hop", F.lit(0)), "walk")
-    for hop in range(1, LONGEST + 1):
-        if frontier.isEmpty():
-            break
+    """``start`` and all that ``grow(frontier)`` adds, each ``key`` at its first round (``hop``).
+
+    It ends when a round adds nothing: keys are made of the graph's own names, so there are
+    only so many, and cycles come back to seen ones."""
+    seen, hop = written(start.withColumn("hop", F.lit(0)), "walk"), 0
+    frontier = seen
+    while not frontier.isEmpty():
+        hop += 1
         new = grow(frontier).dropDuplicates(key).join(seen.select(*key), key, "left_anti")
         frontier = written(new.withColumn("hop", F.lit(hop)), "walk")
         seen = seen.unionByName(frontier)
+        if hop % COMPACT == 0:
+            seen = written(seen, "seen")
     return seen
 
 
@@ -130,15 +135,14 @@ def declared_behind(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataF
 
 def canonical(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, canonical``: as ``declared_behind``, else the nearest container that has one."""
-    out, todo, rounds = [], ids.select("id", F.col("id").alias("at")).distinct(), 0
-    while rounds < 8:
+    out, todo = [], ids.select("id", F.col("id").alias("at")).distinct()
+    while True:  # each round drops a part of every name that is left
         hit = todo.join(declared_behind(nodes, edges, todo.select(F.col("at").alias("id"))).withColumnRenamed("id", "at"), "at")
         out.append(hit.select("id", F.col("exact").alias("canonical")))
         todo = todo.join(hit.select("id"), "id", "left_anti").select("id", container(F.col("at")).alias("at")).where("at is not null")
         todo = written(todo, "todo")
         if todo.isEmpty():
             break
-        rounds += 1
     return reduce(DataFrame.unionByName, out)
 
 
@@ -322,28 +326,41 @@ def impact(snap: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
 
 def trace(snap: Snapshot, ends: DataFrame, depth: int = 6) -> DataFrame:
     """``from, to, path`` (array of id and passed) for ``ends (from, to)``: the shortest chain down
-    from one to the other, a member or an alias of it; no row if there is none."""
+    from one to the other, a member or an alias of it; no row if there is none.
+
+    Chains of one start share a walk: a layer keeps, for each start and node, only the node it
+    was reached from. Paths are put together at the end, from their ends back, a join a hop."""
     if depth < 1:
         raise ValueError("depth starts at 1")
-    step = F.struct(F.col("from").alias("id"), F.lit(False).alias("passed"))
-    start = ends.select("from", "to", F.col("from").alias("at"), F.array(step).alias("path"))
-    start = written(start, "ends")
-    goal = seeds(snap, ends.select(F.col("to").alias("root"))).select(F.col("root").alias("to"), F.col("at").alias("id"))
-    out, seen, frontier = [start.where("from = to")], start.select("from", "to", F.col("at").alias("id")), start.where("from != to")
-    for _ in range(depth):
-        hit = frontier.join(snap.down, "at")
-        path = F.concat("path", F.array(F.struct(F.col("other").alias("id"), "passed")))
-        new = hit.select("from", "to", F.col("other").alias("id"), "passed", "part", "rank", "goes_on", path.alias("path"))
-        best = F.min(F.struct(F.size("path"), F.transform("path", lambda p: p["id"]), "passed", "part", "rank", "path", "goes_on")).alias("b")
-        new = new.groupBy("from", "to", "id").agg(best).join(seen, ["from", "to", "id"], "left_anti")
-        new = written(new, "layer")
-        there = new.join(goal, ["to", "id"], "left_semi")
-        out.append(there.select("from", "to", F.col("id").alias("at"), "b.path"))
+    ends = written(ends.select("from", "to").distinct(), "ends")
+    goal = seeds(snap, ends.select(F.col("to").alias("root")).distinct()).select(F.col("root").alias("to"), F.col("at").alias("id"))
+    frontier = ends.select("from", F.col("from").alias("at")).distinct()
+    seen, layers = frontier.select("from", F.col("at").alias("id")), []
+    for d in range(1, depth + 1):
+        hit = frontier.join(snap.down, "at").withColumnRenamed("other", "id")
+        best = F.min(F.struct("at", "passed", "part", "rank")).alias("b")
+        new = hit.groupBy("from", "id").agg(best, F.max("goes_on").alias("open")).join(seen, ["from", "id"], "left_anti")
+        new = written(new.select("from", "id", F.lit(d).alias("hop"), F.col("b.at").alias("via"), F.col("b.passed").alias("passed"), "open"), "layer")
         if new.isEmpty():
             break
-        seen = seen.unionByName(new.select("from", "to", "id"))
-        frontier = new.where("b.goes_on").join(there.select("from", "to").distinct(), ["from", "to"], "left_anti")
-        frontier = frontier.select("from", "to", F.col("id").alias("at"), "b.path")
-    found = reduce(DataFrame.unionByName, out)
-    first = found.groupBy("from", "to").agg(F.min(F.struct(F.size("path"), "at", "path")).alias("b"))
-    return first.select("from", "to", "b.path")
+        layers.append(new)
+        seen = seen.unionByName(new.select("from", "id"))
+        frontier = new.where("open").select("from", F.col("id").alias("at"))
+    start = F.array(F.struct(F.col("from").alias("id"), F.lit(False).alias("passed")))
+    own = ends.where("from = to").select("from", "to", start.alias("path"))
+    if not layers:
+        return own
+    every = reduce(DataFrame.unionByName, layers)
+    there = ends.where("from != to").join(goal, "to").join(every, ["from", "id"])
+    first = there.groupBy("from", "to").agg(F.min(F.struct("hop", "id", "via", "passed")).alias("b"))
+    tail = F.array(F.struct(F.col("b.id").alias("id"), F.col("b.passed").alias("passed")))
+    paths, out = written(first.select("from", "to", F.col("b.hop").alias("hop"), F.col("b.via").alias("via"), tail.alias("path")), "paths"), [own]
+    for d in range(len(layers), 0, -1):
+        if d > 1:
+            back = layers[d - 2].select("from", F.col("id").alias("via"), F.col("via").alias("_via"), "passed")
+            step = F.array(F.struct(F.col("via").alias("id"), "passed"))
+            more = paths.where(F.col("hop") == d).join(back, ["from", "via"]).select("from", "to", F.lit(d - 1).alias("hop"), F.col("_via").alias("via"), F.concat(step, "path").alias("path"))
+            paths = paths.where(F.col("hop") < d).unionByName(more)
+        else:
+            out.append(paths.where("hop = 1").select("from", "to", F.concat(start, "path").alias("path")))
+    return reduce(DataFrame.unionByName, out)

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path.
 
-    Only a session that names none (a local test) gets a temporary folder of its own.
+    Only a local session that names none gets a temporary folder of its own: on a cluster
+    every executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     mine = getattr(shared_dir, "local", None)
     if mine is None:
         mine = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
@@ -32,9 +35,28 @@ def _own(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Remove all this application has written to the shared folder, once its results are used."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _own(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in ``path``, which need not exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, a table as read, over all cores. A small table in few files, whose rows may all lie
+    in one row group, would keep one core busy; larger ones stay as their splits are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= 4 * cores:
+        return df.repartition(cores)
+    return df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

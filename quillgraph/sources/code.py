@@ -80,7 +80,7 @@ class _Python(ast.NodeVisitor):
                 self.ex.edge(owner, id_, "Declares", "export" if not prefix and not name.startswith("_") else "")
                 if not prefix:
                     self.own[name] = id_
-            if isinstance(node, ast.ClassDef) and depth < 2:
+            if isinstance(node, ast.ClassDef):
                 self.declare(node.body, prefix + node.name + ".", depth + 1)
 
     def imports(self, tree: ast.Module) -> None:
@@ -271,7 +271,7 @@ def lexed(ex: Extraction, text: str, lang: str) -> None:
 def _block_end(lines: list[str], start: int) -> int:
     """The line of the brace that closes what opens at line ``start``, or that line itself."""
     depth, opened = 0, False
-    for n in range(start - 1, min(len(lines), start + 2000)):
+    for n in range(start - 1, len(lines)):
         for c in lines[n]:
             if c == "{":
                 depth, opened = depth + 1, True

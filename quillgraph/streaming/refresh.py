@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..shared import folders, fresh_dir, remove
 from ..sources.documents import extract
 
 MS_PER_FILE, MS_PER_ROW = 40, 5
@@ -76,23 +77,35 @@ class Watch:
 
 def watch_stream(changes: DataFrame, refresh: Callable[[DataFrame, int], None], every: str = "30 seconds", batch: int = 1, checkpoint: str | None = None, once: bool = False):
     """Run ``refresh`` over micro-batches of a streaming DataFrame of changes; small batches are
-    gathered until they are due. Returns the query."""
-    policy, waiting = Watch(batch), []
+    gathered until they are due. Returns the query.
+
+    A batch is written beside the checkpoint, by its epoch, before it counts as done, and
+    removed once a refresh has read it. So what was put off outlives a restart and the end
+    of a ``once`` run, and the next run over the same checkpoint refreshes it; a batch that is
+    run again replaces its own rows. Without a checkpoint the folder is as short-lived as the
+    query, and what a ``once`` run put off is refreshed by ``flush``."""
+    spark, policy = changes.sparkSession, Watch(batch)
+    held = f"{checkpoint.rstrip('/')}/held" if checkpoint else fresh_dir(spark, "held")
+    schema = changes.schema
 
     def step(df: DataFrame, epoch: int) -> None:
-        waiting.append(df.persist())
-        rows = waiting[0]
-        for w in waiting[1:]:
-            rows = rows.unionByName(w)
-        if policy.due(rows.count()):
-            refresh(rows, epoch)
-            for w in waiting:
-                w.unpersist()
-            waiting.clear()
+        df.write.mode("overwrite").parquet(f"{held}/{epoch}")
+        _refreshed(spark, held, schema, lambda n: policy.due(n), refresh, epoch)
 
     out = changes.writeStream.foreachBatch(step)
     out = out.trigger(availableNow=True) if once else out.trigger(processingTime=every)
-    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+    query = (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+    query.flush = lambda: _refreshed(spark, held, schema, bool, refresh, -1)
+    return query
+
+
+def _refreshed(spark: SparkSession, held: str, schema, due: Callable[[int], bool], refresh: Callable[[DataFrame, int], None], epoch: int) -> None:
+    epochs = [e for e in folders(spark, held) if e.isdigit()]
+    rows = spark.read.schema(schema).parquet(*[f"{held}/{e}" for e in epochs]) if epochs else spark.createDataFrame([], schema)
+    if due(rows.count()):
+        refresh(rows, epoch)
+        for e in epochs:
+            remove(spark, f"{held}/{e}")
 
 
 @dataclass(frozen=True)
