@@ -629,3 +629,6 @@ def stream_poll(spark, d):
     rows = [(r["event_type"], r["n"]) for batch in out for r in batch]
     spark.createDataFrame(rows, "event_type string, n long").createOrReplaceTempView(name)
     return spark.table(name)
+
+
+from . import catalog_graph  # noqa: E402, F401  registers its own
