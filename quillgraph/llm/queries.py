@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import dealt
 from ..shipping import ship
 from . import (
     decontaminate,
@@ -25,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

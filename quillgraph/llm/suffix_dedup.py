@@ -48,7 +48,10 @@ from .scratch import written
 from .skew import join_by_key, salts_of
 from .substring_dedup import Rows, copies_of, keyed, text_key
 
-WINDOW, GRAM, WIDE = 200, 32, 50_000
+WINDOW, GRAM = 200, 32
+#: Rows of one anchor from which its suffixes are sorted one by one: so many contexts, were they all
+#: different, take about 200 MB in the task that sorts them.
+WIDE = 200_000
 SPAN = WINDOW - GRAM + 1
 #: Contexts sorted at once, and bytes of contexts gathered before they are sent on.
 BUCKET, FLUSH = 40_000, 24 << 20
