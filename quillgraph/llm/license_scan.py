@@ -18,7 +18,7 @@ breaks, of ``SLACK`` times its length.
 Documents are measured where they stand; only the words of those with a prefix token are
 written on, in pieces of ``PIECE`` words that reach over their end by one block, so a
 document of any length makes rows of bounded size. Nothing is shuffled but token counts
-and labels, unless the index outgrows a broadcast. Edge cases: null and empty texts have no words, no
+and labels; the index is as long as a fifth of the templates and is broadcast. Edge cases: null and empty texts have no words, no
 labels and score 0; rows are told apart by a number, so repeated rows are scanned one by
 one; an empty table gives an empty result.
 """
@@ -120,7 +120,8 @@ def inverted_index(spark: SparkSession, ranks: dict[str, int]) -> DataFrame:
     for x in templates():
         own = sorted(x["own"], key=ranks.get)
         rows += [(own[i], i, x["t"], x["label"], own, x["must"], x["bars"], x["need"], x["span"]) for i in range(len(own) - x["need"] + 1)]
-    return spark.createDataFrame(rows, "token string, at int, t int, label string, own array<string>, must array<string>, bars array<string>, need int, span int")
+    # a fifth of the templates' words, all spelt out above: small enough to broadcast
+    return F.broadcast(spark.createDataFrame(rows, "token string, at int, t int, label string, own array<string>, must array<string>, bars array<string>, need int, span int"))
 
 
 def _phrase_columns(norm: Column, words_in) -> dict[str, tuple[Column, Column, Column]]:
@@ -146,11 +147,15 @@ def pieces(words: DataFrame, rare: list[str]) -> DataFrame:
     return words.select("row", F.explode(F.filter(cut, lambda x: F.arrays_overlap(x, F.array(*map(F.lit, rare))))).alias("part"))
 
 
-def matches(parts: DataFrame, index: DataFrame) -> DataFrame:
+def matches(parts: DataFrame, index: DataFrame, rare: list[str]) -> DataFrame:
     """``row, labels, share`` for ``parts (row, part)``: the labels of all blocks that start in one, and
-    the largest share of a template."""
-    tokens = parts.select("row", "part", F.explode(F.array_distinct("part")).alias("token"))
-    near = tokens.join(index, "token").withColumn("marks", F.transform("part", lambda w: F.when(F.array_contains("bars", w), -1).otherwise(F.array_position("own", w))))  # from 1; 0: none
+    the largest share of a template. A piece makes a row a prefix token it holds."""
+    held = F.array_distinct(F.filter("part", lambda w: w.isin(rare)))
+    near = parts.select("row", "part", F.explode(held).alias("token")).join(index, "token")
+    # each word's place in the template: from 1, 0 for none, -1 for a barred word. What is exploded is
+    # worked out once; a plain column would be worked out anew wherever a filter below reads it
+    place = F.transform("part", lambda w: F.when(F.array_contains("bars", w), -1).otherwise(F.array_position("own", w)))
+    near = near.select("row", "label", "own", "must", "need", "span", "at", F.explode(F.array(place)).alias("marks"))
     held = F.array_distinct(F.filter("marks", lambda m: m > 0))
     first = F.col("at") == F.array_min(held) - 1  # a piece and template meet once, at their first common token
     near = near.where(first).withColumn("held", F.size(held)).where("held >= need")
@@ -161,7 +166,8 @@ def matches(parts: DataFrame, index: DataFrame) -> DataFrame:
     blocks = F.transform(starts, lambda s: F.array_distinct(F.filter(F.slice("marks", s, F.col("span")), lambda m: m != 0)))
     good = F.filter(blocks, lambda b: ~F.array_contains(b, F.lit(-1).cast("long")) & (F.size(b) >= F.col("need")) & (F.size(F.array_except(needed, b)) == 0))
     most = F.array_max(F.transform(good, lambda b: F.size(b)))
-    found = near.select("row", "label", (most / F.size("own")).alias("share")).where("share is not null")
+    share = F.filter(F.array(most / F.size("own")), lambda x: x.isNotNull())
+    found = near.select("row", "label", F.explode(share).alias("share"))
     return found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
 
 
@@ -203,7 +209,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         labels.alias("base"), F.when(hit, F.col("_words")).alias("words"),
     )
     measured = written(measured, "licenses")
-    more = matches(pieces(measured.where("words is not null").select("row", "words"), rare), index)
+    more = matches(pieces(measured.where("words is not null").select("row", "words"), rare), index, rare)
     return measured.drop("words").join(more, "row", "left").select(
         *[F.col(f"_row.`{c}`").alias(c) for c in keep],
         "n_words", "n_base", "first_word", "last_word",
