@@ -70,3 +70,26 @@ def test_scratch_is_written_and_cleared(spark):
     import os
 
     assert not os.path.exists(_own(spark).removeprefix("file://"))
+
+
+def test_ids_in_one_scan():
+    from quillgraph.functions.ids import find_ids
+
+    ids = lambda t: [i for i, _ in find_ids(t)]
+    assert ids("R-1601…R-1603 and INV-011/2/3") == ["R-1601", "R-1602", "R-1603", "INV-011", "INV-2", "INV-3"]
+    assert ids("R-1601…R-1700") == ["R-1601", "R-1700"] and ids("R-1703…R-1601") == ["R-1703", "R-1601"]
+    assert ids("FR-A-1…FR-B-3") == ["FR-A-1", "FR-A-2", "FR-A-3"]
+    assert ids("R-1…R-2/3") == ["R-1", "R-2", "R-2", "R-3"]
+    assert ids("XFR-PAY-22Y B1, BE-M02 T25 R-1…R-2X") == ["BE-M02", "R-1"]
+
+
+def test_stream_holds_what_it_puts_off(spark, tmp_path):
+    from quillgraph.streaming import refresh
+
+    schema, seen = "rel string", []
+    for run, want in ((0, []), (1, ["a", "b"])):
+        spark.createDataFrame([("ab"[run],)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        step = lambda df, epoch: seen.extend(sorted(r["rel"] for r in df.collect()))
+        refresh.watch_stream(stream, step, batch=2, checkpoint=f"{tmp_path}/state", once=True).awaitTermination()
+        assert seen == want
