@@ -436,8 +436,9 @@ FROM call a JOIN call b ON b.source = a.target JOIN call c ON c.source = b.targe
 def trace_path(spark, d):
     """Every order's chain of calls down to its region."""
     s = _calls(spark, d)
-    start = s.nodes.where("id like 'sym:o::%'").select(F.col("id").alias("root"))
-    reach = traverse.walk(s, start, 6, up=False).where("id like 'sym:r::%'").select(F.col("root").alias("from"), F.col("id").alias("to"))
+    homes = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    both = table(spark, d, "orders").join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    reach = both.select(F.concat(F.lit("sym:o::O"), "o_orderkey").alias("from"), F.concat(F.lit("sym:r::R"), "n_regionkey").alias("to"))
     return traverse.trace(s, reach, 6).select("from", "to", F.array_join(F.transform("path", lambda p: p["id"]), " > ").alias("path"))
 
 

@@ -324,20 +324,35 @@ def impact(snap: Snapshot, roots: DataFrame, depth: int = 3) -> DataFrame:
     return out.withColumn("risk", risk(F.col("direct"), F.col("files")))
 
 
+def _leading_to(snap: Snapshot, goal: DataFrame, depth: int) -> DataFrame:
+    """``id``: the goals, and all nodes fewer than ``depth`` steps above one."""
+    seen = frontier = written(goal, "leading")
+    for _ in range(depth - 1):
+        before = snap.down.join(frontier, F.col("other") == F.col("id"), "left_semi").select(F.col("at").alias("id")).distinct()
+        frontier = written(before.join(seen, "id", "left_anti"), "leading")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return written(seen, "leading")
+
+
 def trace(snap: Snapshot, ends: DataFrame, depth: int = 6) -> DataFrame:
     """``from, to, path`` (array of id and passed) for ``ends (from, to)``: the shortest chain down
     from one to the other, a member or an alias of it; no row if there is none.
 
-    Chains of one start share a walk: a layer keeps, for each start and node, only the node it
-    was reached from. Paths are put together at the end, from their ends back, a join a hop."""
+    Steps that cannot come to any end are left out first: one walk back from all ends, with no
+    start beside a node, so it grows with the graph and not with the pairs. Chains of one start
+    share a walk: a layer keeps, for each start and node, only the node it was reached from.
+    Paths are put together at the end, from their ends back, a join a hop."""
     if depth < 1:
         raise ValueError("depth starts at 1")
     ends = written(ends.select("from", "to").distinct(), "ends")
     goal = seeds(snap, ends.select(F.col("to").alias("root")).distinct()).select(F.col("root").alias("to"), F.col("at").alias("id"))
+    steps = snap.down.join(_leading_to(snap, goal.select("id").distinct(), depth), F.col("other") == F.col("id"), "left_semi")
     frontier = ends.select("from", F.col("from").alias("at")).distinct()
     seen, layers = frontier.select("from", F.col("at").alias("id")), []
     for d in range(1, depth + 1):
-        hit = frontier.join(snap.down, "at").withColumnRenamed("other", "id")
+        hit = frontier.join(steps, "at").withColumnRenamed("other", "id")
         best = F.min(F.struct("at", "passed", "part", "rank")).alias("b")
         new = hit.groupBy("from", "id").agg(best, F.max("goes_on").alias("open")).join(seen, ["from", "id"], "left_anti")
         new = written(new.select("from", "id", F.lit(d).alias("hop"), F.col("b.at").alias("via"), F.col("b.passed").alias("passed"), "open"), "layer")
