@@ -2,7 +2,8 @@
 
 Python is read by its own grammar (``ast``). SQL is read by its statements. Other languages
 are read by one tolerant lexer that finds declarations and imports where their syntax is
-unmistakable, and no calls: a call is proven or not written.
+unmistakable; languages in braces that ``braces`` knows have their members and references read
+too. A call is proven or not written.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 
 from ..functions.ids import find_ids
 from ..functions.paths import folder, normalise
+from . import braces
 from .documents import Extraction, lines_of
 
 # Languages by file suffix, by file name and by interpreter.
@@ -246,9 +248,17 @@ def lexed(ex: Extraction, text: str, lang: str) -> None:
     fam = lang if lang in DECLARES else family(lang)
     pattern = re.compile(DECLARES[fam]) if fam in DECLARES else None
     lines, seen = lines_of(text), set()
+    if fam in braces.TYPES:
+        reader = braces.Reader(ex.rel, text, fam)
+        ex.package, ex.refs = reader.package, reader.refs()
+        for name, (start, end, shown, head) in reader.declared.items():
+            ex.node(f"sym:{ex.rel}::{name}", "Symbol", name, head[:DOC_CAP], start, end)
+            owner = f"sym:{ex.rel}::{name.rpartition('.')[0]}" if name.rpartition(".")[0] in reader.declared else f"file:{ex.rel}"
+            ex.edge(owner, f"sym:{ex.rel}::{name}", "Declares", "export" if shown else "")
+            seen.add(name)
     for n, line in enumerate(lines, 1):
         m = pattern.match(line) if pattern else None
-        if m is None or m[2] in seen:
+        if m is None or m[2] in seen or (fam in braces.TYPES and line[:1].isspace()):
             continue
         seen.add(m[2])
         id_ = f"sym:{ex.rel}::{m[2]}"
@@ -284,6 +294,12 @@ def _block_end(lines: list[str], start: int) -> int:
     return start
 
 
+def scripts(text: str) -> str:
+    """A component's scripts where they stand, all else blank."""
+    kept = [m.span(1) for m in re.finditer(r"<script\b[^>]*>(.*?)</script\s*>", text, re.S | re.I)]
+    return "".join(c if c == "\n" or any(a <= i < b for a, b in kept) else " " for i, c in enumerate(text))
+
+
 def code(rel: str, text: str) -> Extraction:
     ex = Extraction(rel)
     ex.node(f"file:{rel}", "File", rel)
@@ -292,6 +308,8 @@ def code(rel: str, text: str) -> Extraction:
         python(ex, text)
     elif lang == "sql":
         sql(ex, text)
+    elif lang == "vue":
+        lexed(ex, scripts(text), "typescript")
     elif lang is not None:
         lexed(ex, text, lang)
     spans = sorted((n[5], n[6], n[0]) for n in ex.nodes if n[1] == "Symbol")
@@ -302,4 +320,6 @@ def code(rel: str, text: str) -> Extraction:
         for cited, _ in find_ids(line[quoted.start() :]):
             owner = next((i for a, b, i in spans if a <= n <= b), f"file:{rel}")  # the outermost
             ex.edge(owner, cited, "References", "comment" if quoted[0] not in "'\"" else "string")
+    if ex.package is not None:
+        ex.nodes[0] = (*ex.nodes[0][:3], ex.package, *ex.nodes[0][4:])  # what other files may name it by
     return ex

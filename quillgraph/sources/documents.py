@@ -41,6 +41,8 @@ class Extraction:
 
     def __init__(self, rel: str) -> None:
         self.rel, self.nodes, self.edges = rel, [], []
+        self.package: str | None = None  # of code that other files name by package
+        self.refs: list[tuple] = []  # candidates, bound once all files are read
 
     def node(self, id_: str, kind: str, label: str, body: str = "", line: int = 0, end: int = 0) -> None:
         self.nodes.append((id_, kind, label, body, self.rel, line, end, [self.rel], None))
@@ -146,7 +148,7 @@ def plain(rel: str, text: str) -> Extraction:
     return ex
 
 
-ROWS = "nodes array<struct<id:string,kind:string,label:string,body:string,file:string,line:int,`end`:int,files:array<string>,community:string>>, edges array<struct<source:string,target:string,kind:string,context:string,file:string>>"
+ROWS = "nodes array<struct<id:string,kind:string,label:string,body:string,file:string,line:int,`end`:int,files:array<string>,community:string>>, edges array<struct<source:string,target:string,kind:string,context:string,file:string>>, rel string, refs array<struct<n:int,source:string,kind:string,context:string,rank:int,package:string,name:string,proven:boolean>>"
 
 
 def extract_one(rel: str, kind: str, text: str) -> Extraction:
@@ -155,14 +157,18 @@ def extract_one(rel: str, kind: str, text: str) -> Extraction:
     return {"Doc": document, "Registry": registry, "Text": plain, "Code": code}[kind](rel, text)
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` rows, with repeats, of ``files (rel, kind, text)``. Nodes carry ``seq``."""
+def extract(files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` rows, with repeats, of ``files (rel, kind, text)``. Nodes carry ``seq``.
+    References are bound to what ``files`` and the ``known`` nodes of other files declare."""
+    from ..operators import bind
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = [extract_one(*r) for r in pdf[["rel", "kind", "text"]].itertuples(index=False)]
-            yield pd.DataFrame({"nodes": [e.nodes for e in out], "edges": [e.edges for e in out]})
+            yield pd.DataFrame({"nodes": [e.nodes for e in out], "edges": [e.edges for e in out], "rel": pdf["rel"].to_list(), "refs": [e.refs for e in out]})
 
     rows = files.select("rel", "kind", "text").mapInPandas(run, ROWS).persist()
     nodes = rows.select(F.posexplode("nodes").alias("seq", "n")).select("n.*", "seq")
-    return nodes, rows.select(F.inline("edges"))
+    every = nodes.drop("seq") if known is None else nodes.drop("seq").unionByName(known.select(*nodes.drop("seq").columns))
+    edges = bind.retarget(rows.select(F.inline("edges")), every)
+    return nodes, edges.unionByName(bind.bind(rows.select("rel", F.inline("refs")), every))

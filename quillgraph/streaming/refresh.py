@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import bind, graph, traverse
 from ..shared import folders, fresh_dir, remove
 from ..sources.documents import extract
 
@@ -47,14 +47,31 @@ def to_read(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame
     )
 
 
+def _headers(nodes: DataFrame) -> DataFrame:
+    """``rel, family, header`` of code files that others name by package: all a file declares."""
+    own = nodes.where("kind = 'Symbol'").select(traverse.file_of_symbol(F.col("id")).alias("rel"), F.col("id").alias("said"))
+    own = own.unionByName(nodes.where("kind = 'File'").select(F.col("file").alias("rel"), F.concat(F.lit("="), "body").alias("said")))
+    own = own.withColumn("family", bind.family_of(F.col("rel"))).where("family is not null")
+    return own.groupBy("rel", "family").agg(F.array_sort(F.collect_set("said")).alias("header"))
+
+
+def _relatives(nodes: DataFrame, changes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rel``: files of the families in which a declaration came or went, for a reference may now
+    be bound otherwise. An edit inside bodies widens nothing."""
+    old = _headers(nodes)
+    fresh, _ = extract(texts.join(changes.where("change = 'changed'"), "rel", "left_semi"))
+    new = old.join(changes, "rel", "left_anti").unionByName(_headers(fresh))
+    return graph.widen_by_header(old, new, exempt=())
+
+
 def apply_diff(nodes: DataFrame, edges: DataFrame, pending: DataFrame, changes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The graph after ``changes (rel, change)``; ``texts (rel, kind, text)`` are the current files.
     Equal to a full rebuild from ``texts``."""
-    again = to_read(nodes, edges, changes).persist()
+    again = to_read(nodes, edges, changes).unionByName(_relatives(nodes, changes, texts)).distinct().persist()
     gone = again.unionByName(changes.select("rel")).distinct()
     left, kept = graph.remove_files(nodes, edges, gone)
     _, held = graph.remove_files(nodes, pending, gone)
-    new_nodes, new_edges = extract(texts.join(again, "rel", "left_semi"))
+    new_nodes, new_edges = extract(texts.join(again, "rel", "left_semi"), known=left)
     return merged(left, kept, held, new_nodes, new_edges)
 
 
