@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import ASKED, _IDS, _TOKENS, _asked_sql, _identified, _passages, _requirements, query, table
 from .functions.ids import find_ids, node_kind_column
-from .operators import ask, changes, dense, evaluate, families, graph, lexical, resolve, traverse
+from .operators import ask, bind, changes, dense, evaluate, families, graph, lexical, resolve, traverse
 from .schema import EDGE_KEY
 from .shared import dealt
 
@@ -341,3 +341,51 @@ def recall_by_extension(spark, d):
     item = docs.select(F.concat(F.lit("f"), "doc_id", F.lit("."), "lang").alias("item"), "doc_id")
     out = evaluate.by_extension(item, item.where("doc_id % 7 = 0"))
     return out.select("ext", "want", "found", F.round("recall", 6).alias("recall"))
+
+
+# ---- references bound over files
+
+
+_PLACES = """place AS (SELECT DISTINCT 'c' || c_custkey || '.java' AS home, 'p' || c_nationkey AS package, 'C' || (c_custkey // 3) AS name FROM customer),
+ref AS (SELECT 'o' || o_orderkey || '.java' AS rel, 1 AS rank, 'p' || (o_custkey % 25) AS package, 'C' || (o_custkey // 3) AS name FROM orders
+  UNION ALL SELECT 'o' || o_orderkey || '.java', 2, 'p' || (o_orderkey % 25), 'C' || (o_custkey // 3) FROM orders)"""
+
+
+@query(f"""WITH {_PLACES}, hit AS (SELECT rel, rank, count(*) AS n, min('sym:' || home || '::' || place.name) AS target FROM ref JOIN place USING (package, name) GROUP BY rel, rank)
+SELECT 'sym:' || rel || '::R' AS source, target FROM hit WHERE n = 1 AND rank = (SELECT min(rank) FROM hit h WHERE h.rel = hit.rel)""")
+def bound_references(spark, d):
+    """Every order refers to a customer's name, first in one package and then in another: the better
+    one that has it counts, and only if a single file declares it there."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    at, name = F.concat(F.lit("c"), "c_custkey", F.lit(".java")), F.concat(F.lit("C"), F.expr("c_custkey div 3"))
+    files = c.select(F.concat(F.lit("file:"), at).alias("id"), F.lit("File").alias("kind"), F.concat(F.lit("p"), "c_nationkey").alias("body"), at.alias("file"))
+    said = c.select(F.concat(F.lit("sym:"), at, F.lit("::"), name).alias("id"), F.lit("Symbol").alias("kind"), F.lit("").alias("body"), at.alias("file"))
+    rel = F.concat(F.lit("o"), "o_orderkey", F.lit(".java"))
+    tries = F.array(*[F.struct(F.lit(r).alias("rank"), F.concat(F.lit("p"), F.col(k) % 25).alias("package")) for r, k in ((1, "o_custkey"), (2, "o_orderkey"))])
+    refs = o.select(
+        rel.alias("rel"), F.lit(0).alias("n"), F.concat(F.lit("sym:"), rel, F.lit("::R")).alias("source"), F.lit("Calls").alias("kind"), F.lit("").alias("context"),
+        F.concat(F.lit("C"), F.expr("o_custkey div 3")).alias("name"), F.lit(False).alias("proven"), F.inline(tries),
+    )
+    return bind.bind(refs, files.unionByName(said)).select("source", "target")
+
+
+@query("""
+WITH f AS (SELECT 'm' || s_suppkey || (['.ts', '.js', '/index.ts'])[s_suppkey % 3 + 1] AS home, 'm' || s_suppkey AS stem, (['0', '1', '2'])[s_suppkey % 3 + 1] AS prio FROM supplier
+  UNION SELECT 'm' || s_suppkey || '/index.ts', 'm' || s_suppkey, '2' FROM supplier WHERE s_suppkey % 2 = 0),
+best AS (SELECT stem, arg_min(home, prio) AS home FROM f GROUP BY stem)
+SELECT DISTINCT 'file:p' || ps.l_partkey || '.ts' AS source, 'file:' || coalesce(best.home, 'm' || (ps.l_suppkey + 5) || '.ts') AS target
+FROM lineitem ps LEFT JOIN best ON best.stem = 'm' || (ps.l_suppkey + 5)""")
+def import_targets(spark, d):
+    """Every part's file imports its suppliers' modules: a source file goes before a compiled one, that
+    before a folder's index; a module that is not there stays as written."""
+    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem")
+    stem = F.concat(F.lit("m"), "s_suppkey")
+    ends = F.element_at(F.array(*map(F.lit, (".ts", ".js", "/index.ts"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    at = s.select(F.concat(stem, ends).alias("file")).union(s.where("s_suppkey % 2 = 0").select(F.concat(stem, F.lit("/index.ts"))))
+    nodes = at.select(F.concat(F.lit("file:"), "file").alias("id"), F.lit("File").alias("kind"), F.regexp_replace("file", r"\.[^.]*$", "").alias("body"), "file")
+    file = F.concat(F.lit("p"), "l_partkey", F.lit(".ts"))
+    edges = li.select(
+        F.concat(F.lit("file:"), file).alias("source"), F.concat(F.lit("file:m"), F.col("l_suppkey") + 5, F.lit(".ts")).alias("target"),
+        F.lit("Imports").alias("kind"), F.lit("*").alias("context"), file.alias("file"),
+    ).distinct()
+    return bind.retarget(edges, nodes).select("source", "target").distinct()
