@@ -117,3 +117,13 @@ def test_update_equals_rebuild(spark):
     got = refresh.apply_diff(*graph_of(spark, old), changed, read(spark, new))
     for a, b in zip(got, graph_of(spark, new)):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_compiled_paths_lead_to_sources(spark):
+    files = {
+        "p/src/a.ts": "export const a = (n: number) => n\n", "p/src/b.ts": "export const b = (n: number) => n\n", "p/dist/b.js": "export const b = 1\n",
+        "p/x.ts": "import { a } from './dist/a.js'\nimport { b } from './dist/b.js'\nimport { c } from './dist/none.js'\n",
+    }
+    _, edges = documents.extract(read(spark, files))
+    led = {e.target for e in edges.where("kind = 'Imports'").collect()}
+    assert led == {"file:p/src/a.ts", "file:p/dist/b.js", "file:p/dist/none.ts"}
