@@ -25,10 +25,11 @@ first strings of adjacent buckets are compared across the boundary.
 
 Equal texts of at least 200 bytes go whole, and one of them stands for all in steps 2 to 4.
 Joins by content have one row a key on one side; keys of many rows do not meet in a task
-(``skew``). Edge cases: ``doc_id`` is a number, or a text that casts to one (others are an
-error under ANSI rules); rows without an id are documents; a null or empty text has no
-bytes; a shorter one keeps all; repeated rows are copies of one another; overlapping
-repeats inside one text count; an empty table gives an empty result.
+(``skew``). A context is dealt by its anchor's salts and copied to those that its places
+drew, so copies are no more than places. Edge cases: ``doc_id`` is a number, or a text that
+casts to one (others are an error under ANSI rules); rows without an id are documents; a
+null or empty text has no bytes; a shorter one keeps all; repeated rows are copies of one
+another; overlapping repeats inside one text count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,14 +84,16 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows.rest()
 
 
-def _contexts_of(text: bytes, marked: list[dict]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """``(at, lo, salts, context, digest)`` of the anchors ``marked`` (at, salts)."""
+def _contexts_of(text: bytes, i: int, key: int, marked: list[dict]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """``(at, lo, salt, context, digest)`` of the anchors ``marked`` (at, salts) of the text ``i, key``:
+    the place's salt is one of its anchor's."""
     salts = {m["at"]: m["salts"] for m in marked}
     _, at, lo, hi = _chosen(text)
     take = np.isin(at, np.fromiter(salts, np.int64, len(salts)))
     for a, x, y in zip(at[take].tolist(), lo[take].tolist(), hi[take].tolist()):
         context = text[x : y + WINDOW]
-        yield a, x, salts[a], context, xxhash.xxh3_128_digest(context + (a - x).to_bytes(2, "big"))
+        salt = xxhash.xxh3_64_intdigest(b"%d:%d:%d" % (i, key, x)) % salts[a] if salts[a] > 1 else 0
+        yield a, x, salt, context, xxhash.xxh3_128_digest(context + (a - x).to_bytes(2, "big"))
 
 
 def _contexts(column: str):
@@ -107,21 +110,24 @@ def _contexts(column: str):
                     pa.array([r[0] for _, r in rows], pa.binary()),
                     pa.array([r[1] for _, r in rows], pa.int32()),
                     pa.array([r[2] for _, r in rows], pa.int64()),
-                    pa.array([r[3] for _, r in rows], pa.int32()),
+                    pa.array([list(r[3]) for _, r in rows], _SALTS),
                 ],
                 names=["digest", "lead", "context", "d", "n", "salts"],
             )
 
         for batch in batches:
-            for text, marked in zip(batch["text"].to_pylist(), batch[column].to_pylist()):
+            for i, key, text, marked in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", column))):
                 if not marked:
                     continue
-                for a, x, salts, context, digest in _contexts_of(text, marked):
-                    if digest in held:
-                        held[digest][2] += 1
-                    else:
-                        held[digest] = [context, a - x, 1, salts]
-                        size += len(context) + 200
+                for a, x, salt, context, digest in _contexts_of(text, i, key, marked):
+                    if digest not in held:
+                        held[digest] = [context, a - x, 0, set()]
+                        size += len(context) + 400
+                    row = held[digest]
+                    row[2] += 1
+                    if salt not in row[3]:
+                        row[3].add(salt)
+                        size += 50
                 if size >= FLUSH:
                     yield flush()
                     held.clear()
@@ -136,11 +142,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys, digests, parts, los = [], [], [], [], []
         for i, key, text, narrow, wide in zip(*(batch[c].to_pylist() for c in ("_id", "_key", "text", "_narrow", "_wide"))):
-            for _, x, salts, _, digest in _contexts_of(text, (narrow or []) + (wide or [])):
+            for _, x, salt, _, digest in _contexts_of(text, i, key, (narrow or []) + (wide or [])):
                 ids.append(i)
                 keys.append(key)
                 digests.append(digest)
-                parts.append(prints.word_hashes([b"%d:%d:%d" % (i, key, x)])[0] % np.uint64(salts) if salts > 1 else 0)
+                parts.append(salt)
                 los.append(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(digests, pa.binary()), pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int32())],
@@ -233,7 +239,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         d = np.array([r[3] for r in rows], np.int64)
         n = np.array([r[4] for r in rows], np.int64)
-        salts = pa.array([r[5] for r in rows], pa.int32())
+        salts = pa.array([r[5] for r in rows], _SALTS)
         found = repeats_among([r[2] for r in rows], d, n)
         runs = []
         for i, r in enumerate(rows):  # string starts, from the context's first byte
@@ -255,6 +261,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _RUNS_SQL = "array<struct<s:int,e:int>>"
+_SALTS = pa.list_(pa.int32())
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,14 +304,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([(held[1], held[2], held[3], 0 if first else 1, held[0])])
 
 
-_CONTEXTS = "digest binary, lead binary, context binary, d int, n long, salts int"
+_CONTEXTS = "digest binary, lead binary, context binary, d int, n long, salts array<int>"
 
 
 def _wide_runs(joined: DataFrame, n: int) -> DataFrame:
-    """``digest, runs, salts`` of the contexts of wide anchors, from their sorted suffixes."""
-    distinct = joined.where(F.size("_wide") > 0).mapInArrow(_contexts("_wide"), _CONTEXTS)
-    distinct = distinct.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n"), F.first("salts").alias("salts"))
-    distinct = written(distinct, "contexts")
+    """``digest, salt, runs`` of the contexts of wide anchors, from their sorted suffixes."""
+    contexts = joined.where(F.size("_wide") > 0).mapInArrow(_contexts("_wide"), _CONTEXTS)
+    distinct = written(contexts.groupBy("digest").agg(F.first("context").alias("context"), F.sum("n").alias("n")), "contexts")
     order = ["suffix", "digest", "s"]
     rows = distinct.mapInArrow(_suffixes, "suffix binary, digest binary, s int, n long")
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -315,7 +321,8 @@ def _wide_runs(joined: DataFrame, n: int) -> DataFrame:
     edges = rows.where("edge is not null").withColumn("again", F.col("again") | near)
     found = rows.where("again and edge is null").unionByName(edges.where("again"))
     runs = found.groupBy("digest").agg(F.collect_set(F.struct("s", (F.col("s") + 1).alias("e"))).alias("runs"))
-    return runs.join(distinct.select("digest", "salts"), "digest")
+    salts = contexts.select("digest", F.explode("salts").alias("salt")).distinct()
+    return salts.join(runs, "digest")
 
 
 def repeated(docs: DataFrame, *keep) -> DataFrame:
@@ -340,14 +347,14 @@ def repeated(docs: DataFrame, *keep) -> DataFrame:
         joined.mapInArrow(_contexts("_narrow"), _CONTEXTS)
         .repartitionByRange(n, "lead")
         .sortWithinPartitions("lead")
-        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}, salts int")
+        .mapInArrow(_bucket, f"digest binary, runs {_RUNS_SQL}, salts array<int>")
         .where(F.size("runs") > 0)
+        .select("digest", F.explode("salts").alias("salt"), "runs")
     )
     if not twice.where(F.col("times") > WIDE).isEmpty():
         runs = runs.unionByName(_wide_runs(joined, n))
-    # a context has as many places as its anchor at most, and is dealt into as many parts
-    runs = runs.groupBy("digest").agg(F.first("runs").alias("runs"), F.first("salts").alias("salts"))
-    runs = runs.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "runs")
+    # a context goes to the salts that its places have, not to all of its anchor's: no more rows than places
+    runs = runs.groupBy("digest", "salt").agg(F.first("runs").alias("runs"))
     places = joined.mapInArrow(_places, "digest binary, salt int, _id long, _key long, lo int")
     found = places.join(runs, ["digest", "salt"]).groupBy("_id", "_key").agg(
         F.collect_list(F.transform("runs", lambda r: F.struct((r["s"] + F.col("lo")).alias("s"), (r["e"] + F.col("lo")).alias("e")))).alias("_sets")

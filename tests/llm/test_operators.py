@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,6 +111,52 @@ def test_suffix_dedup_brute(spark, monkeypatch):
         assert got == want
 
 
+def last_execution(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+
+
+def rows_generated(spark, after: int) -> int:
+    """Rows that Generate nodes made in the executions after ``after``."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    for at in range(after + 1, last_execution(spark) + 1):
+        nodes, found = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if node.name() == "Generate" and m.name() == "number of output rows" and found.contains(m.accumulatorId()):
+                    rows += int(found.apply(m.accumulatorId()).replace(",", ""))
+    return rows
+
+
+@pytest.mark.parametrize("wide", [suffix_dedup.WIDE, 1])
+def test_contexts_of_one_anchor_are_not_multiplied(spark, monkeypatch, wide):
+    """Many different contexts of one anchor, and one context of many places: the runs of a
+    context are copied for its own places, not for all of its anchor's."""
+    from quillgraph.llm import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    short, long = say(230), say(700)
+    texts = [say(150) + short + say(150) for _ in range(120)] + [say(150) + long + say(150) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = last_execution(spark)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(docs).collect()}
+    made = rows_generated(spark, before)
+    starts = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+    twice = {x for x, n in Counter(starts).items() if n > 1}
+    want = {}
+    for n, t in enumerate(texts):
+        gone = {i + j for i in range(len(t) - 199) if t[i : i + 200] in twice for j in range(200)}
+        rest = "".join(c for i, c in enumerate(t) if i not in gone)
+        want[n] = (len(t), len(gone), 1, hashlib.sha256(rest.encode()).hexdigest())
+    assert got == want
+    anchors = sum(len(suffix_dedup._chosen(t.encode())[1]) for t in texts)
+    assert anchors / 4 < made < 2 * anchors
+
+
 def test_neighbours_meet_across_buckets(spark):
     """The buckets' edges, however the suffixes are dealt."""
     rng = random.Random(6)
