@@ -7,7 +7,7 @@ Questions are rows, so a batch of any number is one plan: questions meet posting
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,39 +27,100 @@ class Index:
     postings: DataFrame  # gram, key, id, tf
     lengths: DataFrame  # id, len
     corpus: DataFrame  # n, avg_len
-    tokens: DataFrame | None = None  # id, toks; None once the postings are kept
+    tokens: DataFrame | None = None  # id, toks, not yet written; None once the tables are kept
+    again: DataFrame | None = None  # ids of more than one text, if there are any
+    sifted: dict = field(default_factory=dict)  # indexes of a few keys, by these
 
     def persist(self) -> Index:
         """Keep a snapshot's tables for many questions."""
-        return Index(self.postings.persist(), self.lengths.persist(), self.corpus.persist())
-
-    def matching(self, keys: DataFrame) -> DataFrame:
-        """The postings of the questions' keys. Of an index that is not kept, and for ``LITERAL`` keys
-        or fewer, each document's tokens are sifted by the keys where they stand, so that no
-        other occurrence makes a row; more keys are joined."""
+        laid = self.laid()
+        return Index(laid.postings.persist(), laid.lengths.persist(), laid.corpus.persist())
+
+    def laid(self) -> Index:
+        """The same with its tokens written, for plans that read them more than once."""
+        return self if self.tokens is None else _of_tokens(written(self.tokens, "tokens"), self.again)
+
+    def counted(self, *grams: str) -> DataFrame:
+        """The postings of some grams alone: others make no rows."""
+        if self.tokens is None:
+            return self.postings.where(F.col("gram").isin(*grams))
+        return _postings(self.tokens, self.again, grams)
+
+    def of(self, keys: DataFrame) -> Index:
+        """The index of the questions' keys alone. Of an index that is not kept, and for ``LITERAL`` keys
+        or fewer, each document's tokens are sifted by the keys where they stand, in one pass that
+        also takes their length, so that neither tokens nor other occurrences are written; more
+        keys are joined."""
         wanted = keys.select("gram", "key").distinct()
         few = wanted.limit(LITERAL + 1).collect() if self.tokens is not None else None
         if few is None or len(few) > LITERAL:
-            return self.postings.join(wanted, ["gram", "key"], "left_semi")
-        terms = [r["key"] for r in few if r["gram"] == "term"]
-        pairs = [r["key"] for r in few if r["gram"] == "pair"]
-        own = F.filter("toks", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+            whole = self.laid()
+            return Index(whole.postings.join(wanted, ["gram", "key"], "left_semi"), whole.lengths, whole.corpus)
+        name = frozenset((r["gram"], r["key"]) for r in few)
+        if name not in self.sifted:
+            self.sifted[name] = self._sift(sorted(k for g, k in name if g == "term"), sorted(k for g, k in name if g == "pair"))
+        return self.sifted[name]
+
+    def _sift(self, terms: list[str], pairs: list[str]) -> Index:
+        none = F.array().cast("array<string>")
         spots = F.sequence(F.lit(1), F.size("toks") - 1)
-        opens = F.filter(spots, lambda i: F.element_at("toks", i).isin([p.split(" ")[0] for p in pairs]))
+        opens = F.filter(spots, lambda i: F.element_at("toks", i).isin(sorted({p.split(" ")[0] for p in pairs})))
         both = F.transform(opens, lambda i: F.concat_ws(" ", F.element_at("toks", i), F.element_at("toks", i + 1)))
-        near = F.when((F.size("toks") > 1) & F.lit(bool(pairs)), F.filter(both, lambda p: p.isin(pairs or [""])))
-        hit = self.tokens.select("id", _counted(own, "term", F.coalesce(near, F.array().cast("array<string>"))).alias("_keys"))
-        return hit.select("id", F.inline("_keys")).select("gram", "key", "id", "tf")
+        near = F.when(F.size("toks") > 1, F.filter(both, lambda p: p.isin(pairs))) if pairs else none
+        own = F.filter("toks", lambda t: t.isin(terms)) if terms else none
+        hit = self.tokens.select("id", F.size("toks").alias("len"), own.alias("term"), F.coalesce(near, none).alias("pair"))
+        hit = written(hit.select("id", "len", F.concat(_times("term"), _times("pair")).alias("keys")), "sifted")
+        found = hit.select("id", F.inline("keys")).select("gram", "key", "id", "tf")
+        if self.again is not None:
+            found = found.groupBy("gram", "key", "id").agg(F.sum("tf").cast("int").alias("tf"))
+        return Index(found, *_sizes(hit.select("id", "len")))
+
+
+def _times(gram: str) -> Column:
+    """Structs (gram, key, tf) of the few keys in the column named as the gram."""
+    count = lambda k: F.size(F.filter(gram, lambda x: x == k))
+    return F.transform(F.array_distinct(gram), lambda k: F.struct(F.lit(gram).alias("gram"), k.alias("key"), count(k).alias("tf")))
 
 
-def _counted(terms: Column, kind: str, pairs: Column) -> Column:
-    """Structs (gram, key, tf) of a document's own terms and pairs: counted before they make rows."""
+def _sizes(lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lengths`` and the one row of the corpus."""
+    mean = F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0))
+    return lengths, lengths.agg(F.count("*").alias("n"), mean.alias("avg_len"))
+
+
+def _keys(grams: tuple[str, ...]) -> list[Column]:
+    """Columns ``term`` and ``pair``, as asked for: a document's keys in order, equal ones side by side."""
+    n = F.size("toks")
+    first, second = (F.slice("toks", F.lit(i), F.greatest(n - 1, F.lit(0))) for i in (1, 2))
+    pair = F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b))
+    return [F.sort_array({"term": F.col("toks"), "pair": pair}[g]).alias(g) for g in grams]
 
-    def of(keys: Column, gram: str) -> Column:
-        once = F.array_distinct(keys)
-        return F.transform(once, lambda k: F.struct(F.lit(gram).alias("gram"), k.alias("key"), F.size(F.filter(keys, lambda x: x == k)).alias("tf")))
 
-    return F.concat(of(terms, kind), of(pairs, "pair"))
+def _postings(toks: DataFrame, again: DataFrame | None, grams: tuple[str, ...] = ("term", "pair")) -> DataFrame:
+    """``gram, key, id, tf``. A document's keys are counted in its own row, as runs of its sorted keys,
+    so nothing is shuffled; only texts that share an id are put together by a shuffle."""
+    lone = toks if again is None else toks.join(again, toks["id"].eqNullSafe(again["id"]), "left_anti")
+    lone = lone.select("id", *_keys(grams))
+    none = F.array().cast("array<int>")
+    begins = lambda g: lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1))
+    starts = [F.when(F.size(g) > 0, F.filter(F.sequence(F.lit(0), F.size(g) - 1), begins(g))).otherwise(none).alias(f"{g}_at") for g in grams]
+    lone = lone.select("id", *grams, *starts)
+
+    def runs(g: str) -> Column:
+        end = lambda j: F.coalesce(F.get(f"{g}_at", j + 1), F.size(g))
+        return F.transform(f"{g}_at", lambda i, j: F.struct(F.lit(g).alias("gram"), F.get(g, i).alias("key"), (end(j) - i).alias("tf")))
+
+    out = lone.select("id", F.inline(F.concat(*map(runs, grams)))).select("gram", "key", "id", "tf")
+    if again is None:
+        return out
+    more = toks.join(again, toks["id"].eqNullSafe(again["id"]), "left_semi").select("id", *_keys(grams))
+    said = lambda g: F.transform(g, lambda k: F.struct(F.lit(g).alias("gram"), k.alias("key")))
+    more = more.select("id", F.inline(F.concat(*map(said, grams)))).groupBy("gram", "key", "id").agg(F.count("*").cast("int").alias("tf"))
+    return out.unionByName(more)
+
+
+def _of_tokens(toks: DataFrame, again: DataFrame | None) -> Index:
+    return Index(_postings(toks, again), *_sizes(toks.select("id", F.size("toks").alias("len"))), toks, again)
 
 
 def indexed_body(kind: Column, body: Column) -> Column:
@@ -72,22 +133,12 @@ def passage(nodes: DataFrame) -> Column:
 
 
 def build(texts: DataFrame, stemmed: bool = True) -> Index:
-    """The index of ``texts (id, text)``. A document's tokens are laid out once and exploded
-    twice, as terms and as pairs of neighbours (after short ones are dropped)."""
-    toks = written(texts.select("id", tokens(F.col("text"), stemmed).alias("toks")), "tokens")
-    n = F.size("toks")
-    pairs = F.zip_with(
-        F.slice("toks", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("toks", F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.struct(F.lit("pair").alias("gram"), F.concat_ws(" ", a, b).alias("key")),
-    )
-    terms = F.transform("toks", lambda t: F.struct(F.lit("term").alias("gram"), t.alias("key")))
-    spots = toks.select("id", F.inline(F.concat(terms, pairs)))
-    postings = spots.groupBy("gram", "key", "id")
-    lengths = toks.select("id", n.alias("len"))
-    corpus = lengths.agg(
-        F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len")
-    )
-    return Index(postings.agg(F.count("*").cast("int").alias("tf")), lengths, corpus, toks)
+    """The index of ``texts (id, text)``: its terms, and pairs of neighbours (after short ones are
+    dropped). Ids of more than one text are looked for first; mostly there are none."""
+    again = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = written(again, "again")
+    toks = texts.select("id", tokens(F.col("text"), stemmed).alias("toks"))
+    return _of_tokens(toks, None if again.isEmpty() else again)
 
 
 def of_nodes(nodes: DataFrame, stemmed: bool = True) -> tuple[Index, Index]:
@@ -113,12 +164,13 @@ def idf(n: Column, df: Column) -> Column:
 
 def frequencies(index: Index, keys: DataFrame) -> DataFrame:
     """``gram, key, df`` of the questions' keys."""
-    return index.matching(keys).groupBy("gram", "key").agg(F.count("*").alias("df"))
+    return index.of(keys).postings.groupBy("gram", "key").agg(F.count("*").alias("df"))
 
 
 def search(index: Index, keys: DataFrame, k: int | None = 20) -> DataFrame:
     """``q, id, score, rank``: the ``k`` best documents of each question, ties by id."""
-    found = index.matching(keys)
+    index = index.of(keys)
+    found = index.postings
     df = found.groupBy("gram", "key").agg(F.count("*").alias("df"))
     hits = found.join(keys, ["gram", "key"]).join(df, ["gram", "key"])
     hits = hits.join(index.lengths, "id").crossJoin(F.broadcast(index.corpus))  # one row of statistics

@@ -253,3 +253,24 @@ def test_families(spark):
     n = nodes(spark, [node("FR-A-1", "Requirement", files=["a", "b"]), node("FR-A-2", "Requirement"), node("BE-M01/T01", "Task"), node("sym:x::FR-A-3")])
     assert {(r["form"], r["family"]): (r["nodes"], r["definitions"]) for r in families.of_graph(n).collect()} == {("id", "FR-A"): (2, 3), ("milestone", "BE"): (1, 1)}
     assert families.line([str(i) for i in range(22)]).endswith("… +2")
+
+
+def _rows(df):
+    return sorted(map(str, (tuple(r) for r in df.collect())))
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    docs = spark.createDataFrame([("a", "x1 yy x1"), ("b", "yy"), ("c", ""), ("d", None)], "id string, text string")
+    p = lexical.build(docs, stemmed=False).postings.select("id", "gram", "key", "tf")
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert _rows(p) == _rows(spark.createDataFrame([("a", "term", "x1", 2), ("a", "term", "yy", 1), ("a", "pair", "x1 yy", 1), ("a", "pair", "yy x1", 1), ("b", "term", "yy", 1)], "id string, gram string, key string, tf int"))
+
+
+def test_texts_of_one_id_are_counted_together(spark):
+    docs = spark.createDataFrame([("a", "x1 yy"), ("a", "x1"), (None, "yy yy"), (None, "yy"), ("b", "zz")], "id string, text string")
+    index = lexical.build(docs, stemmed=False)
+    want = [("a", "term", "x1", 2), ("a", "term", "yy", 1), ("a", "pair", "x1 yy", 1), (None, "term", "yy", 3), (None, "pair", "yy yy", 1), ("b", "term", "zz", 1)]
+    want = spark.createDataFrame(want, "id string, gram string, key string, tf int")
+    assert _rows(index.postings.select("id", "gram", "key", "tf")) == _rows(want)
+    keys = lexical.question_keys(spark, {"q": "x1 yy"}, stemmed=False)
+    assert _rows(index.of(keys).postings.select("id", "gram", "key", "tf")) == _rows(want.where("key != 'zz' and key != 'yy yy'"))
