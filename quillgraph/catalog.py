@@ -108,8 +108,8 @@ def postings_stats(spark, d):
 
 @query(f"WITH {_TOKENS} SELECT key, sum(tf)::BIGINT AS n FROM post WHERE gram = 'pair' GROUP BY key HAVING sum(tf) >= 20")
 def adjacent_pairs(spark, d):
-    p = lexical.build(_passages(spark, d), stemmed=False).postings
-    return p.where("gram = 'pair'").groupBy("key").agg(F.sum("tf").cast("long").alias("n")).where("n >= 20")
+    p = lexical.build(_passages(spark, d), stemmed=False).counted("pair")
+    return p.groupBy("key").agg(F.sum("tf").cast("long").alias("n")).where("n >= 20")
 
 
 @query(rf"""WITH {_TOKENS}, {_asked_sql(ASKED)}, df AS (SELECT gram, key, count(*) AS df FROM post GROUP BY ALL)

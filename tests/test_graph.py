@@ -274,3 +274,8 @@ def test_texts_of_one_id_are_counted_together(spark):
     assert _rows(index.postings.select("id", "gram", "key", "tf")) == _rows(want)
     keys = lexical.question_keys(spark, {"q": "x1 yy"}, stemmed=False)
     assert _rows(index.of(keys).postings.select("id", "gram", "key", "tf")) == _rows(want.where("key != 'zz' and key != 'yy yy'"))
+
+
+def test_adjacent_pairs_lay_out_pairs_alone(spark):
+    index = lexical.build(spark.createDataFrame([("a", "x1 yy x1")], "id string, text string"), stemmed=False)
+    assert _rows(index.counted("pair").select("key", "tf")) == _rows(spark.createDataFrame([("x1 yy", 1), ("yy x1", 1)], "key string, tf int"))
