@@ -279,3 +279,14 @@ def test_texts_of_one_id_are_counted_together(spark):
 def test_adjacent_pairs_lay_out_pairs_alone(spark):
     index = lexical.build(spark.createDataFrame([("a", "x1 yy x1")], "id string, text string"), stemmed=False)
     assert _rows(index.counted("pair").select("key", "tf")) == _rows(spark.createDataFrame([("x1 yy", 1), ("yy x1", 1)], "key string, tf int"))
+
+
+def test_few_keys_are_sifted_once_and_no_tokens_written(spark):
+    from quillgraph import shared
+
+    held = lambda name: sum(x.startswith(f"{name}-") for x in shared.folders(spark, shared._own(spark)))
+    tokens, sifted = held("tokens"), held("sifted")
+    index = lexical.build(spark.createDataFrame([("a", "alpha beta"), ("b", "beta")], "id string, text string"), stemmed=False)
+    got = lexical.coverage(index, lexical.question_keys(spark, {"q": "alpha beta"}, stemmed=False)).collect()
+    assert len(got) == 1 and got[0]["best"] > 0
+    assert (held("tokens") - tokens, held("sifted") - sifted) == (0, 1)
