@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .stem import stem
 
 
-
 def raw_tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and hyphens, without outer hyphens, of two
     characters or more. Native."""
@@ -21,18 +22,15 @@ def raw_tokens(text: Column) -> Column:
 
 def stemmer():
     """A vectorised function from arrays of tokens to arrays of stems; each distinct token of a
-    batch is stemmed once."""
-
-    @F.pandas_udf("array<string>")
-    def stems(tokens: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-
-        def one(t: str) -> str:
-            if t not in known:
-                known[t] = stem(t)
-            return known[t]
-
-        return tokens.map(lambda ts: None if ts is None else [one(t) for t in ts])
+    batch is made a Python string and stemmed once, the others are its places."""
+
+    @F.arrow_udf("array<string>")
+    def stems(tokens: pa.Array) -> pa.Array:
+        coded = tokens.flatten().dictionary_encode()
+        known = pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.ListArray.from_arrays(starts, known.take(coded.indices), mask=tokens.is_null())
 
     return stems
 

@@ -290,3 +290,14 @@ def test_few_keys_are_sifted_once_and_no_tokens_written(spark):
     got = lexical.coverage(index, lexical.question_keys(spark, {"q": "alpha beta"}, stemmed=False)).collect()
     assert len(got) == 1 and got[0]["best"] > 0
     assert (held("tokens") - tokens, held("sifted") - sifted) == (0, 1)
+
+
+def test_stems_of_a_batch(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions.stem import stem
+    from quillgraph.functions.tokens import stemmer
+
+    rows = [(["running", "cats", "cats"],), (None,), ([],), (["v-2", "cats"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").coalesce(1).select(stemmer()(F.col("t"))).collect()]
+    assert got == [None if t is None else [stem(x) for x in t] for (t,) in rows]
