@@ -16,7 +16,7 @@ from .functions.ids import family_of, form_of, node_kind_column
 from .functions.tokens import raw_tokens
 from .operators import ask, changes, dense, evaluate, families, graph, lexical, resolve, traverse
 from .schema import EDGE_KEY
-from .shared import dealt
+from .shared import dealt, written
 from .shipping import ship
 from .sources import tree
 from .streaming import refresh
@@ -390,12 +390,13 @@ def _calls(spark, d) -> traverse.Snapshot:
     parts = [table(spark, d, t).select(name(f, a).alias("source"), name(g, b).alias("target")) for t, f, a, g, b in ends]
     e = reduce(DataFrame.unionByName, parts).distinct()
     e = e.select("source", "target", F.lit("Calls").alias("kind"), F.lit("").alias("context"), F.regexp_extract("source", "^sym:(.)", 1).alias("file"))
+    e = written(e, "edges")
     ids = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
     n = ids.select(
         "id", F.lit("Symbol").alias("kind"), F.regexp_extract("id", "::(.*)$", 1).alias("label"), F.lit("").alias("body"),
         F.regexp_extract("id", "^sym:(.)", 1).alias("file"), F.lit(1).alias("line"), F.lit(1).alias("end"),
     )
-    return traverse.Snapshot.of(n, e)
+    return traverse.Snapshot(written(n, "nodes"), e)
 
 
 def _parts(spark, snap):

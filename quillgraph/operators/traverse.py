@@ -21,6 +21,8 @@ from ..shared import written
 
 #: Rounds of a fixpoint after which what was seen is written as one table again.
 COMPACT = 8
+#: Walks still going, up to which their roots are broadcast to leave out what ended walks have seen.
+LIVE = 100_000
 NAME = r"^sym:((?:(?!::).)*)::(.+)$"
 
 
@@ -180,7 +182,7 @@ class Snapshot:
 
     @cached_property
     def up(self) -> DataFrame:
-        """at, other, kind, passed, part, rank"""
+        """at, other, kind, passed, part, rank, goes_on"""
         return written(_up_steps(self.nodes, self.edges, self.aliases, self.dispatch), "up")
 
     @cached_property
@@ -193,7 +195,7 @@ def _up_steps(nodes: DataFrame, edges: DataFrame, alias: DataFrame, disp: DataFr
     w = walked(edges)
     direct = w.select(F.col("target").alias("at"), F.col("source").alias("other"), "kind", "passed", F.lit(0).alias("part"), "rank")
     ids = nodes.where("kind = 'Symbol'").select(F.col("id").alias("at")).unionByName(w.select(F.col("target").alias("at")))
-    ids = ids.unionByName(alias.select(F.col("alias").alias("at"))).distinct()
+    ids = ids.unionByName(alias.select(F.col("alias").alias("at"))).where(F.col("at").contains(".")).distinct()
     inside = ids.withColumn("class", container(F.col("at"))).where("class is not null")
     heirs = w.where(F.col("kind").isin("Extends", "Implements")).withColumnRenamed("target", "class")
     through = inside.join(heirs, "class").select(
@@ -204,7 +206,15 @@ def _up_steps(nodes: DataFrame, edges: DataFrame, alias: DataFrame, disp: DataFr
     called = names.unionByName(more).join(w, F.col("name") == w["target"]).select(
         "at", F.col("source").alias("other"), "kind", "passed", "part", "rank"
     )
-    return direct.unionByName(through).unionByName(called)
+    return _going(direct.unionByName(through).unionByName(called).withColumn("goes_on", F.lit(True)))
+
+
+def _going(steps: DataFrame) -> DataFrame:
+    """``steps``, of which only those go on that end where another step starts: a walk's layer then
+    hands on no nodes that lead nowhere."""
+    starts = steps.select(F.col("at").alias("other")).distinct().withColumn("_more", F.lit(True))
+    out = steps.join(starts, "other", "left").withColumn("goes_on", F.col("goes_on") & F.col("_more").isNotNull())
+    return out.select(*steps.columns)
 
 
 def _down_steps(nodes: DataFrame, edges: DataFrame, member: DataFrame, disp: DataFrame) -> DataFrame:
@@ -241,7 +251,7 @@ def undeclared(snap: Snapshot, seed: DataFrame) -> DataFrame:
     """``root, at, via``: walked targets ``X.m…`` that no node declares, for the longest seed X.
 
     A target is joined on each of its own containers, so a prefix is an equi-join."""
-    free = walked(snap.edges).select(F.col("target").alias("at")).distinct()
+    free = walked(snap.edges).select(F.col("target").alias("at")).where(F.col("at").contains(".")).distinct()
     free = free.join(snap.nodes.select(F.col("id").alias("at")), "at", "left_anti").where(F.col("at").startswith("sym:"))
     parts = F.split(name_of_symbol(F.col("at")), r"\.")
     heads = F.transform(
@@ -265,17 +275,23 @@ def walk(snap: Snapshot, roots: DataFrame, depth: int = 3, up: bool = True) -> D
         start = start.unionByName(extra.select(*start.columns))
     frontier = written(start, "frontier")
     seen, out = frontier.select("root", F.col("at").alias("id")), []
-    goes_on = F.lit(True) if up else F.col("goes_on")
     for d in range(1, depth + 1):
         hit = frontier.join(steps, "at").withColumnRenamed("other", "id")
         best = F.min(F.struct("passed", "pos", "at", "part", "rank", "kind", "via")).alias("b")
-        new = hit.groupBy("root", "id").agg(best, F.max(goes_on).alias("open")).join(seen, ["root", "id"], "left_anti")
+        hit = hit.repartition("root", "id")  # a minimum of structs sorts its rows: once, after the shuffle
+        new = hit.groupBy("root", "id").agg(best, F.max("goes_on").alias("open")).join(seen, ["root", "id"], "left_anti")
         new = new.select("root", "id", F.lit(d).alias("depth"), "b.kind", "b.via", "b.passed", "open")
         new = written(new, "layer")
         out.append(new.drop("open"))
-        if d == depth or new.isEmpty():
+        if d == depth:
+            break
+        live = written(new.where("open").select("root").distinct(), "live")
+        going = live.count()
+        if not going:
             break
         seen = seen.unionByName(new.select("root", "id"))
+        if going <= LIVE:
+            seen = seen.join(F.broadcast(live), "root", "left_semi")
         frontier = new.where("open").select("root", F.col("id").alias("at"), F.lit(0).alias("pos"), F.col("id").alias("via"))
     return reduce(DataFrame.unionByName, out)
 

@@ -301,3 +301,22 @@ def test_stems_of_a_batch(spark):
     rows = [(["running", "cats", "cats"],), (None,), ([],), (["v-2", "cats"],)]
     got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").coalesce(1).select(stemmer()(F.col("t"))).collect()]
     assert got == [None if t is None else [stem(x) for x in t] for (t,) in rows]
+
+
+def test_walks_hand_on_no_dead_ends(spark):
+    ids = [f"sym:a.py::{x}" for x in "abcd"]
+    a, b, c, d = ids
+    s = traverse.Snapshot.of(nodes(spark, [node(x) for x in ids]), edges(spark, [call(b, a), call(c, b), call(d, a), call(b, c)]))
+    assert {(r["at"][-1], r["other"][-1]): r["goes_on"] for r in s.up.collect()} == {("a", "b"): True, ("b", "c"): True, ("a", "d"): False, ("c", "b"): True}
+    roots = spark.createDataFrame([(a,), (d,)], "root string")
+    assert {(r["root"][-1], r["id"][-1], r["depth"]) for r in traverse.walk(s, roots, 5).collect()} == {("a", "b", 1), ("a", "d", 1), ("a", "c", 2)}
+
+
+def test_many_live_walks_see_the_same(spark, monkeypatch):
+    ids = [f"sym:a.py::{x}" for x in "abcd"]
+    a, b, c, d = ids
+    s = traverse.Snapshot.of(nodes(spark, [node(x) for x in ids]), edges(spark, [call(b, a), call(c, b), call(a, c), call(d, c)]))
+    roots = spark.createDataFrame([(x,) for x in ids], "root string")
+    few = _rows(traverse.walk(s, roots, 6))
+    monkeypatch.setattr(traverse, "LIVE", 0)
+    assert few == _rows(traverse.walk(s, roots, 6))
