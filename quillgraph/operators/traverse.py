@@ -232,6 +232,8 @@ def _down_steps(nodes: DataFrame, edges: DataFrame, member: DataFrame, disp: Dat
     )
     hops = w.join(lands.unionByName(runs), "target")
     own = hops.select(F.col("from").alias("at"), "other", "kind", "passed", F.col("extra").alias("part"), "rank", "goes_on")
+    if member.isEmpty():  # else all hops are laid out once more
+        return own
     inner = member.join(hops, member["member"] == hops["from"]).select(
         F.col("id").alias("at"), "other", "kind", "passed", (F.col("hop") * 2 + 2 + F.col("extra")).alias("part"), "rank", "goes_on"
     )
@@ -365,16 +367,20 @@ def trace(snap: Snapshot, ends: DataFrame, depth: int = 6) -> DataFrame:
     ends = written(ends.select("from", "to").distinct(), "ends")
     goal = seeds(snap, ends.select(F.col("to").alias("root")).distinct()).select(F.col("root").alias("to"), F.col("at").alias("id"))
     steps = snap.down.join(_leading_to(snap, goal.select("id").distinct(), depth), F.col("other") == F.col("id"), "left_semi")
+    steps = written(_going(written(steps, "steps")), "steps")
     frontier = ends.select("from", F.col("from").alias("at")).distinct()
     seen, layers = frontier.select("from", F.col("at").alias("id")), []
     for d in range(1, depth + 1):
         hit = frontier.join(steps, "at").withColumnRenamed("other", "id")
         best = F.min(F.struct("at", "passed", "part", "rank")).alias("b")
+        hit = hit.repartition("from", "id")
         new = hit.groupBy("from", "id").agg(best, F.max("goes_on").alias("open")).join(seen, ["from", "id"], "left_anti")
         new = written(new.select("from", "id", F.lit(d).alias("hop"), F.col("b.at").alias("via"), F.col("b.passed").alias("passed"), "open"), "layer")
         if new.isEmpty():
             break
         layers.append(new)
+        if d == depth or new.where("open").isEmpty():
+            break
         seen = seen.unionByName(new.select("from", "id"))
         frontier = new.where("open").select("from", F.col("id").alias("at"))
     start = F.array(F.struct(F.col("from").alias("id"), F.lit(False).alias("passed")))

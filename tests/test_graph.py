@@ -320,3 +320,15 @@ def test_many_live_walks_see_the_same(spark, monkeypatch):
     few = _rows(traverse.walk(s, roots, 6))
     monkeypatch.setattr(traverse, "LIVE", 0)
     assert few == _rows(traverse.walk(s, roots, 6))
+
+
+def test_trace_stops_where_no_step_leads_on(spark):
+    from quillgraph import shared
+
+    held = lambda: sum(x.startswith("layer-") for x in shared.folders(spark, shared._own(spark)))
+    a, b, c = [f"sym:a.py::{x}" for x in "abc"]
+    s = traverse.Snapshot.of(nodes(spark, [node(x) for x in (a, b, c)]), edges(spark, [call(a, b), call(b, c)]))
+    before = held()
+    got = traverse.trace(s, spark.createDataFrame([(a, c)], "from string, to string"), 6).collect()
+    assert [[p["id"] for p in r["path"]] for r in got] == [[a, b, c]]
+    assert held() - before == 2
